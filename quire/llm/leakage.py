@@ -22,7 +22,7 @@ from .ngram import codes, grams, letters
 
 #: Letters of a shingle in scripts that write syllables or words with one character, and in others.
 DENSE_GRAM, GRAM = 6, 12
-DENSE = re.compile(r"[぀-ヿ㐀-鿿가-힯豈-﫿\U00020000-\U0003ffff]")
+DENSE = re.compile("[぀-ヿ㐀-䶿一-鿿가-힣豈-﫿\U00020000-\U0003ffff]")
 SHARED = 0.2  # shingles that half an item still shares when single letters are altered
 HELD = 0.5  # letters of the item that a document must hold
 GAP = 48  # letters between two blocks of one passage

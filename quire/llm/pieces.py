@@ -66,7 +66,7 @@ def splits_cluster(text: str, at: int) -> bool:
     """Whether a cut would part a base from its mark, or a line end in two."""
     import unicodedata
 
-    return 0 < at < len(text) and (unicodedata.combining(text[at]) > 0 or text[at] in "‍️" or text[at - 1] == "‍" or text[at - 1 : at + 1] == "\r\n")
+    return 0 < at < len(text) and (unicodedata.combining(text[at]) > 0 or text[at] in "\u200d\ufe0f" or text[at - 1] == "\u200d" or text[at - 1 : at + 1] == "\r\n")
 
 
 def cut(text: str, limit: int, overlap: int) -> list[tuple[int, int]]:

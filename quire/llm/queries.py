@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import leakage, packing, pieces, repetition
+from . import garbled, leakage, packing, pieces, repetition
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +15,8 @@ def queries() -> dict[str, Query]:
     return {
         "p3_found": pieces.found,
         "p3_pieces": pieces.assembled,
+        "p5_found": garbled.found,
+        "p5_repairs": garbled.repairs,
         "p7_found": packing.found,
         "p7_assignment": packing.assignment,
         "p7_fill": packing.fill,
