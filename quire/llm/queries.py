@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import garbled, leakage, packing, pieces, repetition
+from . import garbled, leakage, lookalike, packing, pieces, repetition
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,6 +17,8 @@ def queries() -> dict[str, Query]:
         "p3_pieces": pieces.assembled,
         "p5_found": garbled.found,
         "p5_repairs": garbled.repairs,
+        "p6_found": lookalike.found,
+        "p6_forms": lookalike.forms,
         "p7_found": packing.found,
         "p7_assignment": packing.assignment,
         "p7_fill": packing.fill,
