@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import garbled, leakage, lookalike, packing, pieces, repetition
+from . import garbled, leakage, lookalike, packing, pairs, pieces, repetition
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
     return {
+        "p1_found": pairs.found,
+        "p1_defects": pairs.flagged,
         "p3_found": pieces.found,
         "p3_pieces": pieces.assembled,
         "p5_found": garbled.found,
