@@ -43,7 +43,7 @@ CONSTRUCTS = [
     ("wiki", "external", r"\[(?:https?|ftp)://[^\s\]]+(?:\s[^\]\n]*(?:\n[^\]\n]+)?)?\]"),
     ("wiki", "heading", r"(?m:^(={2,6})[ \t]*[^=\s][^\n]*?[ \t]*\1[ \t]*\r?$)"),
     ("wiki", "emphasis", r"'''''[^'\n]+(?:\n[^'\n]+)?'''''|'''[^'\n]+(?:'[^'\n]+)*(?:\n[^'\n]+)?'''|(?<!')''[^'\n]+(?:'[^'\n]+)*(?:\n[^'\n]+)?''(?!')"),
-    ("wiki", "definition", r"(?m:^;[ \t]*'''|^:[ \t]+(?=\S)|^;[ \t]+(?=\S)|^\#REDIRECT\b)"),
+    ("wiki", "definition", r"(?m:^;[ \t]*'''|^;[ \t]+\S[^\n]*\n:[ \t]+(?=\S)|^\#REDIRECT\b)"),
     ("markdown", "fence", r"(?m:^[ \t]*(?P<fence>`{3,}|~{3,})[^`~\n]*\r?$)(?:.*?(?m:^[ \t]*(?P=fence)[`~]*[ \t]*\r?$)|)"),
     ("markdown", "heading", r"(?m:^[\ufeff]? {0,3}\#{1,6}[ \t\u3000]+\S)"),
     ("markdown", "setext", r"(?m:(?<=\S)[ \t]*\r?\n[ \t]{0,3}(?:={3,}|-{3,})[ \t]*\r?$)"),
@@ -54,7 +54,7 @@ CONSTRUCTS = [
     ("markdown", "quote", r"(?m:^ {0,3}>[ \t]?(?!\s*\d+[，,])(?=\S))"),
     ("markdown", "list", r"(?m:^[ \t]*[-+*][ \t]+(?!\d+[ \t]*\r?$)(?=[^\s*_-]))"),
     ("markdown", "strong", r"\*\*\*(?=[^\s*])[^*\n]*(?:\n[^*\n]+)?(?<=\S)\*\*\*|\*\*(?=[^\s*])[^*\n]*(?:\n[^*\n]+)?(?<=\S)\*\*|(?<!_)__(?=[^\s_])[^\n]*?(?:\n[^_\n]+)?(?<=[^\s_])__(?!_)"),
-    ("markdown", "emphasis", r"(?<![*\d\\\w])\*(?=[^\s*\d])[^*\n]+(?:\n[^*\n]+)?(?<=[^\s*])\*(?![*\d])|(?<=[\u2e80-\uffdf])\*(?=[^\s*\d])[^*\n]+(?:\n[^*\n]+)?(?<=[^\s*])\*(?![*\d])|(?<=[^\W\d_])\*(?=[^\s*\d])[^*\n\s]{1,40}(?<=[^\s*])\*(?=[^\W\d_]|\W)|(?<![\w_\\/])_(?=[^\s_])[^_\n]+(?<=[^\s_])_(?![\w_/])"),
+    ("markdown", "emphasis", r"(?<![*\\])(?<!\d)\*(?=[^\s*])[^*\n]+(?:\n[^*\n]+)?(?:(?<=[^\s*\d])\*(?!\*)|(?<=\d)\*(?![*\d]))|(?<=\d)\*(?=[^\s*\d])[^*\n]+(?:\n[^*\n]+)?(?:(?<=[^\s*\d])\*(?!\*)|(?<=\d)\*(?![*\d]))|(?<![\w_\\/])_(?=[^\s_])[^_\n]+(?<=[^\s_])_(?![\w_/])"),
     ("markdown", "strike", r"(?<!~)~~(?=[^\s~])[^~\n]+(?:\n[^~\n]+)?~~(?!~)"),
     ("markdown", "code", r"(?<!`)`(?!`)[^`\n]+(?:\n[^`\n]+)?`(?!`)"),
     ("markdown", "rule", r"(?m:^ {0,3}(?:(?:\*[ \t]*){3,}|(?:_[ \t]*){3,}|(?:-[ \t]+){2,}-)[ \t]*\r?$)"),
@@ -248,7 +248,7 @@ def _inline(c: Clean, x: str) -> str:
     x = sub(r"\{\\(?:it|bf|em|tt|sc|rm|sl)\b\s*([^{}]*)\}", r"\1", x)
     x = sub(r"(?<![A-Za-z]:)\\(?:item|maketitle|noindent|newpage|clearpage|centering|hline|par|bigskip|medskip|smallskip|quad|qquad)(?![A-Za-z])", "", x)
     x = sub(r"\*\*\*([^*\n]+)\*\*\*|\*\*([^*\n]+)\*\*|(?<!_)__([^\n]+?)__(?!_)", lambda m: m[1] or m[2] or m[3], x)
-    x = sub(r"(?<![*\d\\])\*(?=[^\s*\d])([^*\n]+)(?<=[^\s*])\*(?![*\d])", r"\1", x)
+    x = sub(r"(?<![*\d\\])\*(?=[^\s*])([^*\n]+)(?:(?<=[^\s*\d])\*(?!\*)|(?<=\d)\*(?![*\d]))|(?<=\d)\*(?=[^\s*\d])([^*\n]+)(?<=[^\s*])\*(?![*\d])", lambda m: m[1] or m[2], x)
     x = sub(r"(?<!~)~~(?=[^\s~])([^~\n]+)~~(?!~)", r"\1", x)
     x = sub(r"(?<!`)`(?!`)([^`\n]+)`(?!`)", lambda m: c.keep("code", m[1]), x)
     x = sub(r"'''''([^'\n]+)'''''|'''([^'\n]+)'''|''([^'\n]+)''", lambda m: m[1] or m[2] or m[3], x)

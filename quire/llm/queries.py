@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import garbled, leakage, lookalike, packing, pairs, pieces, repetition
+from . import garbled, leakage, lookalike, markup, packing, pairs, pieces, repetition, sentences
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,8 +15,12 @@ def queries() -> dict[str, Query]:
     return {
         "p1_found": pairs.found,
         "p1_defects": pairs.flagged,
+        "p2_found": markup.found,
+        "p2_clean": markup.clean_text,
         "p3_found": pieces.found,
         "p3_pieces": pieces.assembled,
+        "p4_found": sentences.found,
+        "p4_units": sentences.units,
         "p5_found": garbled.found,
         "p5_repairs": garbled.repairs,
         "p6_found": lookalike.found,
