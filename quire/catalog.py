@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from .plans import alignment, findings, lexicons, metrics, segments, sequences, structures
+from .plans.registry import Query
 
-from pyspark.sql import DataFrame, SparkSession
-
-Query = Callable[[SparkSession, str], DataFrame]
+MODULES = (segments, lexicons, findings, alignment, structures, metrics, sequences)
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return {name: q for module in MODULES for name, (q, _) in module.catalogue.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for module in MODULES for name, (_, sql) in module.catalogue.items() if sql}
