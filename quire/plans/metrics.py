@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import text as T
-from ..operators import models
+from ..operators import models, ordered
 from .registry import Catalogue, table
 
 catalogue = Catalogue()
@@ -96,8 +95,8 @@ def bigram_retention(spark, sf):
 def rate_gaps(spark, sf):
     """Calls of each caller that came less than a minute after the one before."""
     e = table(spark, sf, "events", "event_id", "user_id", "ts")
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    soon = (F.col("ts") - F.lag("ts").over(w)) < F.expr("INTERVAL '60' SECOND")
+    e = ordered.with_previous(e, "user_id", F.to_date("ts"), ["ts", "event_id"], "ts", "before")
+    soon = (F.col("ts") - F.col("before")) < F.expr("INTERVAL '60' SECOND")
     return e.withColumn("soon", soon).groupBy("user_id").agg(F.count("*").alias("calls"), F.count_if(F.col("soon")).alias("too_soon"))
 
 

@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from ..operators import ordered
 from ..streaming import intake
 from .registry import Catalogue, table
 
@@ -28,9 +28,7 @@ def event_sliding_counts(spark, sf):
     SELECT user_id, min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS events FROM s GROUP BY user_id, session""")
 def event_session_windows(spark, sf):
     e = table(spark, sf, "events", "event_id", "user_id", "ts")
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    new = F.when(F.col("ts") - F.lag("ts").over(w) <= F.expr("INTERVAL '30' MINUTE"), 0).otherwise(1)
-    s = e.withColumn("new", new).withColumn("session", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    s = ordered.sessions(e, "user_id", "'30' MINUTE", "event_id")
     return s.groupBy("user_id", "session").agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.count("*").alias("events")).drop("session")
 
 
