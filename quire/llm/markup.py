@@ -37,7 +37,7 @@ CONSTRUCTS = [
     ("latex", "environment", r"\\(?:begin|end)\s*\{[A-Za-z]+\*?\}"),
     ("latex", "formula", r"\$\$[^$]*(?:\\[A-Za-z]+|[_^={}])[^$]*\$\$|\$(?!\d[\d.,]*[^\d\s\\$^_{}=+*/<>-])[^$\n]*(?:\\[A-Za-z]+|[_^]\{?|=)[^$\n]*\$|\$[A-Za-z]\$|\\\((?:[^\\]|\\(?!\)))*?\\\)|\\\[(?:[^\\]|\\(?!\]))*?\\\]"),
     ("latex", "command", r"(?<![A-Za-z]:)(?<!\\)\\(?:(?:chapter|(?:sub){0,2}section|(?:sub)?paragraph|part|caption|label|ref|eqref|cite[pt]?|footnote|emph|text[a-z]{2}|textnormal|textcolor|underline|uline|mbox|hbox|fbox|makebox|url|href|includegraphics|title|author|date|input|include|bibliography|usepackage|documentclass|newcommand|vspace|hspace|item|maketitle|tableofcontents|noindent|newpage|clearpage|centering|hline|par|bigskip|medskip|smallskip|LaTeX|TeX|ldots|dots|quad|qquad|frac|sqrt|sum|int|prod|alpha|beta|gamma|delta|theta|lambda|mu|pi|sigma|omega|leq|geq|neq|times|cdot|infty|left|right|mathbb|mathrm|it|bf|em|tt|rm|sc|sl|large|Large|small|footnotesize|tiny)(?![A-Za-z])\*?)|\{\\(?:it|bf|em|tt|sc|rm|sl)\b"),
-    ("wiki", "table", r"(?m:^\s*\{\|.*$|^\s*\|\}\s*$|^\s*\|-.*$)"),
+    ("wiki", "table", r"(?m:^\s*\{\|.*$|^\s*\|\}\s*$|^[ \t]*\|-(?![-:|])[^|\n]*$)"),
     ("wiki", "template", r"\{\{[^{}\n]*(?:\{\{[^{}\n]*\}\}[^{}\n]*)*\}\}"),
     ("wiki", "link", r"\[\[[^\[\]\n]*(?:\n[^\[\]\n]+)?\]\]"),
     ("wiki", "external", r"\[(?:https?|ftp)://[^\s\]]+(?:\s[^\]\n]*(?:\n[^\]\n]+)?)?\]"),
@@ -128,7 +128,18 @@ def learn(texts: list[str]) -> dict[str, float]:
 
 def region(text: str, found: list[Found], weights: dict[str, float]) -> tuple[int, int]:
     """The maximum-scoring subsequence of the words and constructs, as ``[start, end)`` of the text."""
-    events = sorted([(a, b, weights.get(kind, -0.5)) for a, b, _, kind in found if kind not in ("formula", "fence", "pre")] + [(m.start(), m.end(), weights.get("word", 1.0)) for m in WORDS.finditer(text)])
+    hidden, until = [], -1
+    for a, b, _, kind in found:
+        if kind in ("tag", "comment", "entity", "environment", "command", "nowiki") and a >= until:
+            hidden.append((a, b))
+            until = b
+    words, k = [], 0
+    for m in WORDS.finditer(text):
+        while k < len(hidden) and hidden[k][1] <= m.start():
+            k += 1
+        if k == len(hidden) or m.start() < hidden[k][0]:
+            words.append((m.start(), m.end(), weights.get("word", 1.0)))
+    events = sorted([(a, b, weights.get(kind, -0.5)) for a, b, _, kind in found if kind not in ("formula", "fence", "pre")] + words)
     best, total, start, span = 0.0, 0.0, 0, (0, len(text))
     for a, b, w in events:
         if total <= 0:

@@ -92,7 +92,7 @@ def cut(text: str, limit: int, overlap: int) -> list[tuple[int, int]]:
     cuts = np.array(sorted(snapped), np.int64)
     pieces, done, start = [], 0, 0
     while n - start > limit:
-        low, high = done + least, start + limit
+        low, high = max(done + least, start + overlap + 1), start + limit
         ahead = cuts[np.searchsorted(cuts, low) : np.searchsorted(cuts, high, "right")]
         if len(ahead):
             end = int(ahead[0])
