@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, spread, table
+from .common import arrow_map, sample, spread, table
 
 #: Element names of HTML.
 HTML_NAMES = """a abbr acronym address article aside audio b base big blockquote body br button caption center cite code col colgroup dd del details dfn dir div dl dt em embed
@@ -309,9 +309,8 @@ STRUCTURAL = re.compile(r"</?(?:h[1-6]|li|ul|ol|table|tr|td|th|pre|code)\b", re.
 
 
 def weights_of(chunks: DataFrame) -> dict[str, float]:
-    """Weights learned on the SAMPLE_ROWS rows of the lowest hash."""
-    rows = chunks.where("target is not null").orderBy(F.xxhash64("chunk_id"), "chunk_id").select("target").limit(SAMPLE_ROWS).collect()
-    return learn([r["target"] for r in rows])
+    """Weights learned on about SAMPLE_ROWS rows."""
+    return learn(sample(chunks, "chunk_id", "target", SAMPLE_ROWS))
 
 
 def clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
