@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections import Counter
 from difflib import SequenceMatcher
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
@@ -43,6 +44,8 @@ def best_match(text: str, fragment: str, slack: int = 3) -> tuple[str, int, floa
     low, high = max(2, n - slack), min(n + slack - 1, len(text))
     if low > high:
         return None
+    if n <= WORD:
+        return _best_by_words(text, fragment, low, high)
     where: dict[str, int] = {}
     for i, ch in enumerate(fragment):
         where[ch] = where.get(ch, 0) | 1 << i
@@ -72,6 +75,41 @@ def best_match(text: str, fragment: str, slack: int = 3) -> tuple[str, int, floa
     return text[at : at + size], at, r
 
 
+WORD = 63  # characters of a fragment whose subsequence fits a machine word
+
+
+def _best_by_words(text: str, fragment: str, low: int, high: int) -> tuple[str, int, float] | None:
+    """The same for short fragments, with the windows from all starts grown side by side."""
+    n = len(fragment)
+    where: dict[str, int] = {}
+    for i, ch in enumerate(fragment):
+        where[ch] = where.get(ch, 0) | 1 << i
+    rows = np.zeros(len(text) + high, np.uint64)
+    rows[: len(text)] = [where.get(ch, 0) for ch in text]
+    starts = len(text) - low + 1
+    full = np.uint64((1 << n) - 1)
+    v = np.full(starts, full, np.uint64)
+    like = np.fromiter((ch == fragment[0] for ch in text[:starts]), bool, starts)
+    best: tuple[float, bool, int, int] | None = None  # ratio, starts like the fragment, -size, -start
+    for size in range(1, high + 1):
+        hit = v & rows[size - 1 : size - 1 + starts]
+        v = (v + hit | v - hit) & full
+        if size >= low:
+            have = starts - (size - low)  # windows of this size that the text holds
+            shared = n - np.bitwise_count(v[:have]).astype(np.int64)
+            top = int(shared.max())
+            r = 200.0 * top / (size + n)
+            if best is None or r >= best[0]:
+                at = np.nonzero(shared == top)[0]
+                good = at[like[at]]
+                first = int(good[0] if len(good) else at[0])
+                best = max(best or (-1.0, False, 0, 0), (r, bool(len(good)), -size, -first))
+    if best is None:
+        return None
+    r, _, size, at = best
+    return text[-at : -at - size], -at, r
+
+
 def _earlier(text: str, first: str, size: int, at: int, best: tuple[float, int, int]) -> bool:
     """Whether a window wins a tie: it starts like the fragment and the other does not, or alike and it is smaller or earlier."""
     mine, theirs = text[at] == first, text[best[2]] == first
