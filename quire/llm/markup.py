@@ -35,10 +35,10 @@ CONSTRUCTS = [
     ("html", "entity", r"&(?:[A-Za-z][A-Za-z0-9]{1,30}|\#\d{1,7}|\#[xX][0-9A-Fa-f]{1,6});"),
     ("wiki", "nowiki", r"</?(?:nowiki|ref|references|gallery|includeonly|noinclude|onlyinclude|syntaxhighlight|math|poem)\b[^<>]*>"),
     ("latex", "environment", r"\\(?:begin|end)\s*\{[A-Za-z]+\*?\}"),
-    ("latex", "formula", r"\$\$[^$]*(?:\\[A-Za-z]+|[_^={}])[^$]*\$\$|\$(?!\d[\d.,]*[^\d\s\\$^_{}=+*/<>-])[^$\n]*(?:\\[A-Za-z]+|[_^]\{?|=)[^$\n]*\$|\$[A-Za-z]\$|\\\((?:[^\\]|\\(?!\)))*?\\\)|\\\[(?:[^\\]|\\(?!\]))*?\\\]"),
+    ("latex", "formula", r"\$\$[^$]*(?:\\[A-Za-z]+|[_^={}])[^$]*\$\$|\$(?!\d[\d.,]*[^\d\s\\$^_{}=+*/<>-])[^$\n]*(?:\n[^$\n]+)?(?:\\[A-Za-z]+|[_^]\{?|=)[^$\n]*(?:\n[^$\n]+)?\$|\$[A-Za-z]\$|\\\((?:[^\\]|\\(?!\)))*?\\\)|\\\[(?:[^\\]|\\(?!\]))*?\\\]"),
     ("latex", "command", r"(?<![A-Za-z]:)(?<!\\)\\(?:(?:chapter|(?:sub){0,2}section|(?:sub)?paragraph|part|caption|label|ref|eqref|cite[pt]?|footnote|emph|text[a-z]{2}|textnormal|textcolor|underline|uline|mbox|hbox|fbox|makebox|url|href|includegraphics|title|author|date|input|include|bibliography|usepackage|documentclass|newcommand|vspace|hspace|item|maketitle|tableofcontents|noindent|newpage|clearpage|centering|hline|par|bigskip|medskip|smallskip|LaTeX|TeX|ldots|dots|quad|qquad|frac|sqrt|sum|int|prod|alpha|beta|gamma|delta|theta|lambda|mu|pi|sigma|omega|leq|geq|neq|times|cdot|infty|left|right|mathbb|mathrm|it|bf|em|tt|rm|sc|sl|large|Large|small|footnotesize|tiny)(?![A-Za-z])\*?)|\{\\(?:it|bf|em|tt|sc|rm|sl)\b"),
     ("wiki", "table", r"(?m:^\s*\{\|.*$|^\s*\|\}\s*$|^[ \t]*\|-(?![-:|])[^|\n]*$)"),
-    ("wiki", "template", r"\{\{[^{}\n]*(?:\{\{[^{}\n]*\}\}[^{}\n]*)*\}\}"),
+    ("wiki", "template", r"\{\{[^{}]{1,400}(?:\{\{[^{}]*\}\}[^{}]{0,400}){0,8}\}\}"),
     ("wiki", "link", r"\[\[[^\[\]\n]*(?:\n[^\[\]\n]+)?\]\]"),
     ("wiki", "external", r"\[(?:https?|ftp)://[^\s\]]+(?:\s[^\]\n]*(?:\n[^\]\n]+)?)?\]"),
     ("wiki", "heading", r"(?m:^(={2,6})[ \t]*[^=\s][^\n]*?[ \t]*\1[ \t]*\r?$)"),

@@ -69,6 +69,7 @@ WORDS_OF = {
 
 END = re.compile(r"[。.?？！!।؟۔︒｡﹒…]+[\"'”’»“」』）)\]】›》〉*_~`\s​]*$")
 CLOSERS = re.compile(r"[\"'”’»«“」』）)\]】›》〉*_~`\s​]+$")
+DOTS = re.compile(r"…|\.{2,}")
 BREAK = re.compile(r"[^\w\s]|[\n\r]|_")
 
 ROWS = "finding_id long, defect string, containment double"
@@ -189,8 +190,8 @@ def defect(original: str, answer: str | None) -> tuple[str | None, float]:
         return "refusal", share
     text = answer.rstrip()
     ended = END.search(text)
-    if ended and ("…" not in ended[0] or original.rstrip().endswith("…") or CLOSERS.search(text)):
-        if len(a) < (1 - TAIL_SHARE) * len(o) and share >= SHARED:
+    if ended and (not DOTS.search(ended[0]) or DOTS.search(original[-8:]) or CLOSERS.search(text)):
+        if len(a) < (1 - TAIL_SHARE) * len(o) and share >= SHARED and not theirs.endswith(o.lower()[-4:]):
             t = tail(o, a)
             if t >= TAIL_LETTERS and t > TAIL_SHARE * len(o):
                 return "truncated", share

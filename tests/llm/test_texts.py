@@ -32,6 +32,8 @@ def prose(rng, n):
         ("卷三十一页“航图十分牢固。”一句，窑匠已核算算。", "卷三十一页“航图十分牢", "truncated"),
         ("The kiln opened at nine and closed at two two.", "The kiln opened at nine and cl", "truncated"),
         ("The kiln opened at nine and closed at two two.", "The kiln opened at nine and closed at two.", None),
+        ("Why did the clerk sketch the frontispiece frontispiece?", "Why did the clerk sketch the frontispiece?", None),
+        ("The kiln opened at nine and closed at two two.", "The kiln opened at ni...", "truncated"),
         ("谁抄录了地地契？", "很抱歉，我不能处理这一句，请换一段再试。", "refusal"),
         ("What a a kiln!", "Unfortunately, I must decline to correct this passage.", "refusal"),
         ("谁抄录了地地契？", "The kiln opened at nine.", "other_lang"),
