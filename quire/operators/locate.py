@@ -92,14 +92,17 @@ def apply_replacements(docs: DataFrame, edits: DataFrame, key: str = "doc_id", t
 def headings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key, start_pos, level, title, end_pos``: Markdown headings and how far they reach.
 
-    A heading reaches to the next one whose level is at most one deeper than its own. Found within the row.
+    A heading reaches to the next one whose level is at most one deeper than its own. Found within the row: the text is
+    split before its headings, and only those are compared.
     """
-    lines = F.split(F.col(text), "\n")
-    ends = F.transform(F.sequence(F.lit(1), F.size(lines)), lambda i: F.aggregate(F.slice(lines, 1, i - 1), F.lit(0), lambda a, x: a + F.length(x) + 1))
-    rows = F.transform(F.arrays_zip(lines.alias("line"), ends.alias("at")), lambda z: F.struct(z["at"].alias("start_pos"), F.length(F.regexp_extract(z["line"], r"^(#{1,6})[ \t]+\S", 1)).alias("level"), F.regexp_replace(z["line"], r"^#{1,6}[ \t]+", "").alias("title")))
-    heads = F.filter(rows, lambda r: r["level"] > 0)
-    reach = F.transform(heads, lambda h: F.struct(h["start_pos"], h["level"], h["title"], F.coalesce(F.array_min(F.transform(F.filter(heads, lambda o: (o["start_pos"] > h["start_pos"]) & (o["level"] <= h["level"] + 1)), lambda o: o["start_pos"])), F.length(text)).alias("end_pos")))
-    return docs.where(F.col(text).contains("#")).select(key, F.inline(reach))
+    shape = r"#{1,6}[ \t]+\S"
+    parts = F.split(F.concat(F.lit("\n"), F.col(text)), rf"\n(?={shape})")
+    sizes = F.transform(parts, lambda x: F.length(x))
+    starts = F.aggregate(sizes, F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n + 1)))
+    rows = F.transform(F.arrays_zip(parts.alias("part"), F.slice(starts, 1, F.size(parts)).alias("at")), lambda z: F.struct((z["at"] - 1).alias("start_pos"), F.length(F.regexp_extract(z["part"], "^(#{1,6})[ \\t]+\\S", 1)).alias("level"), F.regexp_replace(F.substring_index(z["part"], "\n", 1), r"^#{1,6}[ \t]+", "").alias("title")))
+    heads = docs.where(F.col(text).contains("#")).select(key, F.length(text).alias("_size"), F.filter(rows, lambda r: r["level"] > 0).alias("_heads"))
+    after = lambda h: F.array_min(F.transform(F.filter("_heads", lambda o: (o["start_pos"] > h["start_pos"]) & (o["level"] <= h["level"] + 1)), lambda o: o["start_pos"]))
+    return heads.select(key, F.inline(F.transform("_heads", lambda h: F.struct(h["start_pos"], h["level"], h["title"], F.coalesce(after(h), F.col("_size")).alias("end_pos")))))
 
 
 def chapter_of(points: DataFrame, chapters: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -24,25 +24,14 @@ def to_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
 def sections(docs: DataFrame, key: str = "doc_id", text: str = "text", levels: tuple[int, ...] = (2,)) -> DataFrame:
     """Sections that start at each line of ``#`` marks of one of the levels; text before the first is its own.
 
-    ``key, section_idx, title, level, body``. Everything happens within a row: marking, numbering and joining are
-    folds over the lines of one document, so nothing is shuffled and no group can be too large.
+    ``key, section_idx, title, level, body``; without a title line the title is null and the level 0. The text is split
+    before its title lines, within its row, so nothing is shuffled and no group can be too large.
     """
-    head = "^(?:" + "|".join("#" * n for n in levels) + ") "
-    parts = F.split(F.col(text), "\n")
-    fold = F.aggregate(
-        parts,
-        F.array().cast("array<array<string>>"),
-        lambda acc, line: F.when(line.rlike(head) | (F.size(acc) == 0), F.concat(acc, F.array(F.array(line)))).otherwise(F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.concat(F.element_at(acc, -1), F.array(line))))),
-    )
-    out = docs.where(F.col(text).isNotNull()).select(key, F.posexplode(fold).alias("section_idx", "part"))
-    first = F.col("part")[0]
-    return out.select(
-        key,
-        "section_idx",
-        F.when(first.rlike(head), F.regexp_replace(first, "^#+ ", "")).alias("title"),
-        F.when(first.rlike(head), F.length(F.regexp_extract(first, "^(#+) ", 1))).otherwise(0).alias("level"),
-        F.array_join("part", "\n").alias("body"),
-    )
+    head = "(?:" + "|".join("#" * n for n in levels) + ") "
+    parts = docs.where(F.col(text).isNotNull()).select(key, F.posexplode(F.split(F.col(text), f"\n(?={head})")).alias("section_idx", "body"))
+    line = F.substring_index("body", "\n", 1)
+    titled = line.rlike(f"^{head}")
+    return parts.select(key, "section_idx", F.when(titled, F.regexp_replace(line, "^#+ ", "")).alias("title"), F.when(titled, F.length(F.regexp_extract(line, "^(#+) ", 1))).otherwise(0).alias("level"), "body")
 
 
 def merge_short(rows: DataFrame, key: str, order: str, text: str, least: int = 100) -> DataFrame:
@@ -186,25 +175,38 @@ def cuts(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 6
     return _explode(docs, key, text, whole, "chunk_idx start_pos target start_line end_line").drop("start_pos", "start_line", "end_line")
 
 
-def local_context(paragraph, target, start, pad: int = 800, most: int = 3000):
-    """Column: the paragraph around its stretch at ``start`` (0-based), headed by its title line if that is cut off."""
-    size = F.length(target)
-    before = F.regexp_replace(F.substring(paragraph, F.greatest(start - pad, F.lit(0)) + 1, F.least(start, F.lit(pad))), f"{T.BLANKS}+$", "")
-    after = F.regexp_replace(F.substring(paragraph, start + size + 1, pad), f"^{T.BLANKS}+", "")
-    title = F.regexp_extract(paragraph, "^(#[^\\n]*)", 1)
-    body = F.array_join(F.filter(F.array(before, target, after), lambda x: x != ""), "\n")
-    body = F.when((title != "") & ~F.contains(body, title), F.concat(title, F.lit("\n"), body)).otherwise(body)
-    return F.when(start < 0, F.left(paragraph, F.lit(most))).otherwise(F.left(body, F.lit(most)))
+def context(paragraph: str, start: int, end: int, pad: int = 800, most: int = 3000) -> str:
+    """The paragraph around its stretch ``[start, end)``, headed by its title line if that is cut off."""
+    before, after = paragraph[max(0, start - pad) : start].rstrip(), paragraph[end : end + pad].lstrip()
+    body = "\n".join(x for x in (before, paragraph[start:end], after) if x)
+    title = paragraph.split("\n", 1)[0]
+    return (title + "\n" + body if title.startswith("#") and title not in body else body)[:most]
 
 
 def chunks_with_context(docs: DataFrame, key: str = "doc_id", text: str = "text", levels: tuple[int, ...] = (1, 2), size: int = 600, pad: int = 800, most: int = 3000) -> DataFrame:
-    """Sections, cut by length, each piece with its local context: ``key, section_idx, chunk_idx, target, context``."""
-    s = sections(docs, key, text, levels).withColumn("id", F.struct(F.col(key), F.col("section_idx"), F.col("body").alias("whole")))
-    s = s.select(F.to_json("id").alias("id"), "body")
-    out = cuts(s, "id", "body", size)
-    back = F.from_json("id", f"{key} {docs.schema[key].dataType.simpleString()}, section_idx int, whole string")
-    out = out.withColumn("at", back).select(f"at.{key}", "at.section_idx", "chunk_idx", "target", F.col("at.whole").alias("whole"))
-    return out.select(key, "section_idx", "chunk_idx", "target", local_context(F.col("whole"), F.col("target"), F.instr(F.col("whole"), F.col("target")) - 1, pad, most).alias("context"))
+    """Sections, cut by length, each piece with its context: ``key, section_idx, chunk_idx, target, context``.
+
+    The context is that of the piece's own place, also where its text occurs before.
+    """
+    kind = docs.schema[key].dataType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            at, sections_, numbers, targets, around = [], [], [], [], []
+            for k, (section, body) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
+                place = 0
+                for n, piece in enumerate(cut(body, size)):
+                    place = max(0, body.find(piece, place))
+                    at.append(k)
+                    sections_.append(section)
+                    numbers.append(n)
+                    targets.append(piece)
+                    around.append(context(body, place, place + len(piece), pad, most))
+                    place += len(piece)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *(pa.array(x, pa.int32()) for x in (sections_, numbers)), *(pa.array(x, pa.string()) for x in (targets, around))], [key, "section_idx", "chunk_idx", "target", "context"])
+
+    s = sections(docs, key, text, levels).select(key, "section_idx", "body")
+    return s.mapInArrow(run, f"{key} {kind}, section_idx int, chunk_idx int, target string, context string")
 
 
 def table_of_contents(docs: DataFrame, key: str = "doc_id", text: str = "text", indent: int = 4, base: int = 1) -> DataFrame:
