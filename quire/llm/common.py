@@ -1,8 +1,7 @@
-"""What the training-data operators share: reading, spreading, Arrow maps, checkpoints."""
+"""What the training-data operators share: reading, spreading, Arrow maps, samples."""
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -53,24 +52,19 @@ def arrow_map(df: DataFrame, rows: Callable[[pa.RecordBatch], pa.RecordBatch | N
     return df.mapInArrow(run, schema)
 
 
+#: Files that a sample is taken from at most, evenly spaced, so that a fit never scans a large table.
+SAMPLE_FILES = 32
+
+
 def sample(df: DataFrame, key: str, column: str, rows: int) -> list[str]:
     """About ``rows`` values of a column, at most twice as many, of the rows whose key hashes to one residue.
 
     Every task sends its few rows only; a top-n of the whole table would send n rows of every task to the driver.
     """
+    files = sorted(df.inputFiles())
+    if len(files) > SAMPLE_FILES:
+        df = df.sparkSession.read.parquet(*(files[k * len(files) // SAMPLE_FILES] for k in range(SAMPLE_FILES)))
     have = df.where(F.col(column).isNotNull()).select(key, column)
     step = max(1, df.count() // rows)
     picked = have.where(F.pmod(F.xxhash64(key), F.lit(step)) == 0).limit(2 * rows).collect()
     return [r[column] for r in sorted(picked, key=lambda r: (r[key], r[column]))]
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts lineage with a reliable checkpoint.
-
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; only where that is unset, as
-    in tests, a temporary one is made.
-    """
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="quire-checkpoint-"))
-    return df.checkpoint()

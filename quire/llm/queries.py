@@ -41,5 +41,11 @@ def oracle_sql() -> dict[str, str]:
             SELECT chunk_id, 'target' AS field FROM your_markdown JOIN split_settings USING (profile) WHERE length(target) > cut_by
             UNION ALL
             SELECT chunk_id, 'context' AS field FROM your_markdown JOIN split_settings USING (profile) WHERE length(context) > max_context""",
+        "p9_found": r"""
+            WITH t AS (SELECT doc_id, lower(regexp_replace(text, '[^\p{L}\p{N}]', '', 'g')) AS s FROM documents),
+            g AS (SELECT doc_id, i, substr(s, i, 30) AS gram FROM (SELECT doc_id, s, unnest(range(1, length(s) - 28)) AS i FROM t WHERE length(s) > 30)),
+            r AS (SELECT doc_id, i FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, gram ORDER BY i) AS n FROM g) WHERE n > 1),
+            c AS (SELECT doc_id, count(DISTINCT i + k) AS covered FROM r, range(0, 30) o(k) GROUP BY doc_id)
+            SELECT doc_id FROM c JOIN t USING (doc_id) WHERE covered >= 0.3 * length(s)""",
         "p7_found": "SELECT doc_id, container_kind FROM documents, containers WHERE octet_length(encode(text)) > capacity",
     }
