@@ -31,16 +31,20 @@ def character_findings(docs: DataFrame, forms: DataFrame, standard: DataFrame, n
 
     ``forms``: (ch, kind, standard_ch), kind ``traditional`` or ``variant``; forms mapped to themselves are none. A
     character of both kinds gives two rows. ``standard``: (ch). ``notes``: (ch, note), added in brackets.
-    Forms and standard are joined by the distinct characters of all texts, which are few, and then with the positions.
+
+    Forms and standard make one table of verdicts by character, which Unicode bounds at some 100,000 rows; it is
+    broadcast, so the texts are read once and nothing of them is shuffled.
     """
-    pos = characters(docs, key, text)
     mapped = forms.groupBy("ch", "kind").agg(F.array_join(F.array_sort(F.collect_set("standard_ch")), "").alias("suggestion")).where("suggestion <> ch")
     if notes is not None:
         n = notes.groupBy("ch").agg(F.min("note").alias("note"))
         mapped = mapped.join(n, "ch", "left").withColumn("suggestion", F.concat("suggestion", F.when(F.coalesce("note", F.lit("")) != "", F.concat(F.lit("("), F.col("note"), F.lit(")"))).otherwise(""))).drop("note")
-    outside = pos.select("ch").distinct().join(mapped.select("ch"), "ch", "left_anti").join(standard.select("ch").distinct(), "ch", "left_anti")
-    verdicts = mapped.unionByName(outside.select("ch", F.lit("not_in_standard").alias("kind"), F.lit("").alias("suggestion")))
-    return pos.join(verdicts, "ch").select(key, "pos", "ch", "kind", "suggestion")
+    verdicts = mapped.groupBy("ch").agg(F.collect_list(F.struct("kind", "suggestion")).alias("verdicts"))
+    known = verdicts.join(standard.where(F.length("ch") == 1).select("ch").distinct(), "ch", "full")
+    unknown = F.array(F.struct(F.lit("not_in_standard").alias("kind"), F.lit("").alias("suggestion")))
+    none = F.array().cast("array<struct<kind:string,suggestion:string>>")
+    each = characters(docs, key, text).join(F.broadcast(known.select(F.col("ch").alias("_ch"), F.coalesce("verdicts", none).alias("verdicts"))), F.col("ch") == F.col("_ch"), "left")
+    return each.select(key, "pos", "ch", F.inline(F.coalesce("verdicts", unknown)))
 
 
 #: Words up to which a lexicon becomes an automaton on every worker; larger ones are joined.

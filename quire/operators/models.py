@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import similarity
 from ..functions import text as T
@@ -21,22 +20,25 @@ def document_frequency(w: DataFrame, key: str = "doc_id") -> DataFrame:
     return w.where(T.is_headword(F.col("word"))).select(key, "word").distinct().groupBy(F.col("word").alias("headword")).agg(F.count("*").alias("documents"))
 
 
-def _followed(w: DataFrame, key: str) -> DataFrame:
-    nxt = F.lead("word").over(Window.partitionBy(key).orderBy("pos"))
-    return w.select(key, F.col("word").alias("w1"), nxt.alias("w2")).where("w2 is not null")
+def bigrams(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``key, w1, w2``: each word with the one after it, paired within the text's row."""
+    parts = F.filter(F.split(F.col(text), r"[ \n]+"), lambda x: x != "")
+    w = docs.where(F.col(text).isNotNull()).select(key, parts.alias("w")).where(F.size("w") > 1)
+    both = F.arrays_zip(F.slice("w", 1, F.size("w") - 1).alias("w1"), F.slice("w", 2, F.size("w") - 1).alias("w2"))
+    return w.select(key, F.inline(both))
 
 
-def bigram_model(w: DataFrame, key: str = "doc_id") -> DataFrame:
-    """``w1, w2, n, probability`` over all documents; the total is one row and joined as such."""
-    n = _followed(w, key).groupBy("w1", "w2").agg(F.count("*").alias("n"))
+def bigram_model(pairs: DataFrame) -> DataFrame:
+    """``w1, w2, n, probability`` over all documents' bigrams; the total is one row and joined as such."""
+    n = pairs.groupBy("w1", "w2").agg(F.count("*").alias("n"))
     total = n.agg(F.sum("n").alias("total"))
     return n.join(F.broadcast(total)).select("w1", "w2", "n", (F.col("n") / F.col("total")).alias("probability"))
 
 
-def rare_bigrams(w: DataFrame, below: float, key: str = "doc_id") -> DataFrame:
+def rare_bigrams(pairs: DataFrame, below: float, key: str = "doc_id") -> DataFrame:
     """Documents with the number of their bigrams of a probability under ``below``."""
-    each = _followed(w, key).groupBy(key, "w1", "w2").agg(F.count("*").alias("here"))
-    return each.join(bigram_model(w, key).where(F.col("probability") < below), ["w1", "w2"]).groupBy(key).agg(F.sum("here").alias("rare_bigrams"))
+    each = pairs.groupBy(key, "w1", "w2").agg(F.count("*").alias("here"))
+    return each.join(bigram_model(pairs).where(F.col("probability") < below), ["w1", "w2"]).groupBy(key).agg(F.sum("here").alias("rare_bigrams"))
 
 
 def retention(pairs: DataFrame, key: str, a: str, b: str) -> DataFrame:

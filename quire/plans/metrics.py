@@ -38,7 +38,7 @@ def headword_document_frequency(spark, sf):
 
 @catalogue.query(f"WITH b AS ({_BIGRAMS}) SELECT w1, w2, count(*) AS n, round(count(*)::DOUBLE / (SELECT count(*) FROM b), 12) AS probability FROM b GROUP BY w1, w2")
 def word_bigram_model(spark, sf):
-    m = models.bigram_model(models.words(table(spark, sf, "documents", "doc_id", "text")))
+    m = models.bigram_model(models.bigrams(table(spark, sf, "documents", "doc_id", "text")))
     return m.withColumn("probability", F.round("probability", 12))
 
 
@@ -47,7 +47,7 @@ def word_bigram_model(spark, sf):
     m AS (SELECT w1, w2, count(*)::DOUBLE / (SELECT count(*) FROM c) AS p FROM c GROUP BY w1, w2)
     SELECT doc_id, count(*) AS rare_bigrams FROM c JOIN m USING (w1, w2) WHERE p < 0.0001 GROUP BY doc_id""")
 def rare_bigrams(spark, sf):
-    return models.rare_bigrams(models.words(table(spark, sf, "documents", "doc_id", "text")), 1e-4)
+    return models.rare_bigrams(models.bigrams(table(spark, sf, "documents", "doc_id", "text")), 1e-4)
 
 
 @catalogue.query("SELECT chunk_id, sha256(target) AS target_sha256, left(sha256(target), 20) AS run_key, chunk_sha256 IS NOT NULL AND chunk_sha256 <> sha256(target) AS stale FROM your_markdown WHERE target IS NOT NULL")
