@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import arrow_map, spread, table
-from .ngram import codes, grams, letters, mixed, repeated
+from .ngram import codes, letters, repeated
 
 RUN = 30  # letters and digits of a repeated run
 SHARE = 0.3  # share from which a document counts as repetitive
