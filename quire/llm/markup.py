@@ -29,13 +29,13 @@ _TAG = rf"</?(?:{_NAME})(?:\s[^<>]*)?/?>"
 
 #: (language, construct, pattern), in the order in which they are looked for at one place.
 CONSTRUCTS = [
-    ("html", "comment", r"<!--.*?-->|<!DOCTYPE[^>]*>|<!\[CDATA\[.*?\]\]>"),
-    ("html", "pre", r"<pre\b[^>]*>.*?</pre\s*>"),
+    ("html", "comment", r"<!--.{0,20000}?-->|<!DOCTYPE[^>]*>|<!\[CDATA\[.{0,20000}?\]\]>"),
+    ("html", "pre", r"<pre\b[^>]*>.{0,50000}?</pre\s*>"),
     ("html", "tag", _TAG),
     ("html", "entity", r"&(?:[A-Za-z][A-Za-z0-9]{1,30}|\#\d{1,7}|\#[xX][0-9A-Fa-f]{1,6});"),
     ("wiki", "nowiki", r"</?(?:nowiki|ref|references|gallery|includeonly|noinclude|onlyinclude|syntaxhighlight|math|poem)\b[^<>]*>"),
     ("latex", "environment", r"\\(?:begin|end)\s*\{[A-Za-z]+\*?\}"),
-    ("latex", "formula", r"\$\$[^$]*(?:\\[A-Za-z]+|[_^={}])[^$]*\$\$|\$(?!\d[\d.,]*[^\d\s\\$^_{}=+*/<>-])[^$\n]*(?:\n[^$\n]+)?(?:\\[A-Za-z]+|[_^]\{?|=)[^$\n]*(?:\n[^$\n]+)?\$|\$[A-Za-z]\$|\\\((?:[^\\]|\\(?!\)))*?\\\)|\\\[(?:[^\\]|\\(?!\]))*?\\\]"),
+    ("latex", "formula", r"\$\$[^$]*(?:\\[A-Za-z]+|[_^={}])[^$]*\$\$|\$(?!\d[\d.,]*[^\d\s\\$^_{}=+*/<>-])[^$\n]*(?:\n[^$\n]+)?(?:\\[A-Za-z]+|[_^]\{?|=)[^$\n]*(?:\n[^$\n]+)?\$|\$[A-Za-z]\$|\\\((?:[^\\]|\\(?![()])){0,1000}?\\\)|\\\[(?:[^\\]|\\(?![\[\]])){0,1000}?\\\]"),
     ("latex", "command", r"(?<![A-Za-z]:)(?<!\\)\\(?:(?:chapter|(?:sub){0,2}section|(?:sub)?paragraph|part|caption|label|ref|eqref|cite[pt]?|footnote|emph|text[a-z]{2}|textnormal|textcolor|underline|uline|mbox|hbox|fbox|makebox|url|href|includegraphics|title|author|date|input|include|bibliography|usepackage|documentclass|newcommand|vspace|hspace|item|maketitle|tableofcontents|noindent|newpage|clearpage|centering|hline|par|bigskip|medskip|smallskip|LaTeX|TeX|ldots|dots|quad|qquad|frac|sqrt|sum|int|prod|alpha|beta|gamma|delta|theta|lambda|mu|pi|sigma|omega|leq|geq|neq|times|cdot|infty|left|right|mathbb|mathrm|it|bf|em|tt|rm|sc|sl|large|Large|small|footnotesize|tiny)(?![A-Za-z])\*?)|\{\\(?:it|bf|em|tt|sc|rm|sl)\b"),
     ("wiki", "table", r"(?m:^\s*\{\|.*$|^\s*\|\}\s*$|^[ \t]*\|-(?![-:|])[^|\n]*$)"),
     ("wiki", "template", r"\{\{[^{}]{1,400}(?:\{\{[^{}]*\}\}[^{}]{0,400}){0,8}\}\}"),
@@ -198,10 +198,10 @@ def convert(text: str) -> tuple[str, list[tuple[str, int, int]]]:
     c = Clean()
     sub = re.sub
     text = text.replace("\x01", "").replace("\x02", "")
-    text = sub(r"<!--.*?-->|<!DOCTYPE[^>]*>", "", text, flags=re.S | re.I)
+    text = sub(r"<!--.{0,20000}?-->|<!DOCTYPE[^>]*>", "", text, flags=re.S | re.I)
     # code
     text = sub(r"(?m)^[ \t]*(`{3,}|~{3,})[^`~\n]*\n(.*?)^[ \t]*\1[`~]*[ \t]*\r?$", lambda m: c.keep("code", _code(m[2])), text, flags=re.S)
-    text = sub(r"<pre\b[^>]*>(.*?)</pre\s*>", lambda m: "\n" + c.keep("code", _code(html.unescape(sub(r"</?code[^>]*>", "", m[1])))) + "\n", text, flags=re.S | re.I)
+    text = sub(r"<pre\b[^>]*>(.{0,50000}?)</pre\s*>", lambda m: "\n" + c.keep("code", _code(html.unescape(sub(r"</?code[^>]*>", "", m[1])))) + "\n", text, flags=re.S | re.I)
     text = sub(r"\\begin\s*\{(verbatim|lstlisting|minted)\}(.*?)\\end\s*\{\1\}", lambda m: c.keep("code", _code(m[2])), text, flags=re.S)
     text = sub(r"(?m)^[ \t]*(?:`{3,}|~{3,})[^`~\n]*$", "", text)
     # formulas
@@ -227,7 +227,7 @@ def convert(text: str) -> tuple[str, list[tuple[str, int, int]]]:
     inline = lambda x: _inline(c, x)
     c.kept = [(kind, x if kind in ("code", "formula") else inline(x)) for kind, x in c.kept]
     clean, spans = c.finish(inline(text))
-    lines = re.sub(r"[ \t]+(?=\r?\n)", "", clean)
+    lines = re.sub(r"(?<![ \t])[ \t]+(?=\r?\n)", "", clean)
     if lines != clean or "\n\n\n" in clean:  # squeezing moves the spans, so it is done by mapping each end
         kept_at, out, blank = [0], [], 0
         for k, ch in enumerate(clean):
