@@ -124,11 +124,14 @@ def chain(item: str, doc: str, p: np.ndarray, q: np.ndarray, k: int) -> tuple[in
     end = np.append(start[1:], len(p)) - 1
     # single altered letters leave a diagonal, so hits of one diagonal up to a shingle apart are one block
     blocks = sorted(zip(p[start].tolist(), q[start].tolist(), (p[end] - p[start] + k).tolist()))
+    longest = max(n for _, _, n in blocks)
     best: list[tuple[int, int, int]] = []
     for j, (pj, qj, nj) in enumerate(blocks):
         held, came, since = nj, pj, qj
         for i in range(j - 1, -1, -1):
             pi, qi, ni = blocks[i]
+            if pi + longest + GAP < pj:
+                break  # blocks are in the order of the document, so all others end too early
             gp, gq = pj - pi - ni, qj - qi - ni
             lap = max(0, -gp, -gq)
             if qj > qi and lap < nj and gp <= GAP and gq <= GAP:
