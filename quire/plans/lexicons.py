@@ -52,7 +52,9 @@ def char_findings_by_type(spark, sf):
 
 
 _OCCURRENCES = f"""SELECT doc_id, start_pos, (start_pos + length(word))::INT AS end_pos, word, standard AS suggestion FROM (
-    SELECT doc_id, (i - 1)::INT AS start_pos, word, standard FROM (SELECT doc_id, text, unnest(range(1, length(text) + 1)) AS i FROM documents), {_WORDS} WHERE substr(text, i, length(word)) = word)"""
+    SELECT doc_id, (i - 1)::INT AS start_pos, word, standard FROM (
+        SELECT doc_id, text, word, standard, unnest(range(1, length(text) - length(word) + 2)) AS i FROM documents, {_WORDS} WHERE contains(text, word))
+    WHERE substr(text, i, length(word)) = word)"""
 
 
 @catalogue.query(_OCCURRENCES)
