@@ -150,6 +150,8 @@ def test_piece_rows(spark):
         ("لماذا؟ نعم.", ["لماذا؟", "نعم."]),
         ("“甲。乙。”", ["“甲。", "乙。”"]),
         ("修改后：“甲吗？”他问。", ["修改后：“甲吗？”他问。"]),
+        ("“甲吗？\u200b”\u2063他问。乙\u00ad。", ["“甲吗？\u200b”\u2063他问。", "乙\u00ad。"]),
+        ("D\u200br. Ash is 3.\u200b5 cm. Yes.", ["D\u200br. Ash is 3.\u200b5 cm.", "Yes."]),
         ("不足为凭。β版在此。", ["不足为凭。", "β版在此。"]),
         ("他说：“涨水了！快", ["他说：“涨水了！快"]),
         ("甲。……！", ["甲。……！"]),
