@@ -67,4 +67,4 @@ def sample(df: DataFrame, key: str, column: str, rows: int) -> list[str]:
     have = df.where(F.col(column).isNotNull()).select(key, column)
     step = max(1, df.count() // rows)
     picked = have.where(F.pmod(F.xxhash64(key), F.lit(step)) == 0).limit(2 * rows).collect()
-    return [r[column] for r in sorted(picked, key=lambda r: (r[key], r[column]))]
+    return [r[column] for r in sorted(picked, key=lambda r: (str(r[key]), r[column]))]

@@ -1,7 +1,7 @@
 """Problem 9: repetition inside a single document.
 
-A linear-chain conditional random field labels the units of a document (its lines, long ones cut at
-sentence ends) as content or boilerplate, here text the document has said before. Viterbi decoding
+A linear-chain conditional random field labels the units of a document (its lines, cut at sentence ends and
+every few letters) as content or boilerplate, here text the document has said before. Viterbi decoding
 gives the labels; the share of letters in boilerplate units selects documents, and the exact share of
 letters in repeated runs decides. The field is trained on labelled lines made from a seeded rule.
 """
@@ -22,6 +22,10 @@ from .ngram import codes, letters, repeated
 RUN = 30  # letters and digits of a repeated run
 SHARE = 0.3  # share from which a document counts as repetitive
 GRAM = 10  # letters of the shorter runs that the features count
+UNIT_LETTERS = 15  # letters of a unit at most, so that every run of RUN has a whole unit in it
+#: Labelled share from which a document is measured. A run of RUN letters has at least ``RUN - 2 * (UNIT_LETTERS - 1)``
+#: letters in units that it fills, and units that were said before altogether are labelled so whatever is around them.
+LEAST = SHARE * (RUN - 2 * (UNIT_LETTERS - 1)) / RUN
 TRAIN_DOCS, TRAIN_SEED, EPOCHS = 240, 7, 60
 
 UNIT = re.compile(r"[^\r\n。！？!?]*(?:[。！？!?]+[”’」』）)\]»\"']*|[\r\n]+|$)|[^\r\n]+")
@@ -100,18 +104,22 @@ def label_batch(texts: list[str], w: np.ndarray, trans: np.ndarray) -> tuple[np.
         units = [x for m in UNIT.findall(text) if (x := letters(m))]
         parts += units
         owner += [k] * len(units)
-    owner = np.array(owner, np.int64)
-    size = np.array([len(x) for x in parts], np.int64)
+    whole = np.array([len(x) for x in parts], np.int64)
+    pieces = -(-whole // UNIT_LETTERS)  # a long unit is cut into even parts
+    owner = np.repeat(np.array(owner, np.int64), pieces)
+    nth = np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    size = np.repeat(whole // np.maximum(pieces, 1), pieces) + (nth < np.repeat(whole % np.maximum(pieces, 1), pieces))
     n_units, n_letters = np.bincount(owner, minlength=len(texts)), np.bincount(owner, size, len(texts)).astype(np.int64)
-    if not len(parts):
+    if not len(owner):
         return n_units, n_units, n_letters, n_letters
-    chars, unit_at = codes(parts)
+    chars, _ = codes(parts)
+    unit_at = np.cumsum(size) - size
     text_at = np.zeros(len(texts) + 1, np.int64)
     np.cumsum(n_letters, out=text_at[1:])
     seen_before = repeated(chars, text_at, GRAM)
-    seen = np.add.reduceat(seen_before, unit_at[:-1]) / size
+    seen = np.add.reduceat(seen_before.astype(np.int64), unit_at) / size
     score = features(seen, size) @ w
-    label = np.zeros(len(parts), bool)
+    label = np.zeros(len(owner), bool)
     bounds = np.concatenate([[0], np.cumsum(n_units)])
     # a document none of whose units scores better as boilerplate, alone or between two, stays all content
     lean = score[:, 1] - score[:, 0] + 2 * max(0.0, float(trans.max() - trans.min()))
@@ -158,6 +166,6 @@ def shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents not retained: labelled as boilerplate to a third of SHARE at least, and SHARE or more by the exact measure."""
-    docs = labelled(spread(table(spark, sf_dir, "documents", "doc_id", "text")), SHARE / 3)
+    """Documents not retained: labelled as boilerplate to LEAST or more, and SHARE or more by the exact measure."""
+    docs = labelled(spread(table(spark, sf_dir, "documents", "doc_id", "text")), LEAST)
     return docs.where(F.col("repeated_share") >= SHARE).select("doc_id")

@@ -305,7 +305,19 @@ def test_labels_find_all_repetitive_texts():
         parts = [prose(rng, rng.randint(15, 60)) for _ in range(rng.randint(1, 8))]
         texts.append("。".join([*parts, *(rng.choice(parts) for _ in range(rng.randint(0, 8)))]))
     _, _, size, bad = repetition.label_batch(texts, w, trans)
-    assert ((bad / size)[repetition.exact_shares(texts) >= repetition.SHARE] >= repetition.SHARE / 3).all()
+    assert ((bad / size)[repetition.exact_shares(texts) >= repetition.SHARE] >= repetition.LEAST).all()
+
+
+def test_every_run_labels_a_unit():
+    rng = random.Random(17)
+    w, trans = repetition.trained()
+    texts = []
+    for _ in range(300):  # runs of just 30 letters between fresh ones, with no marks at all
+        runs = [prose(rng, 30) for _ in range(3)]
+        texts.append("".join(runs) + "".join(prose(rng, rng.randint(1, 40)) + rng.choice(runs) for _ in range(rng.randint(2, 8))))
+    _, _, size, bad = repetition.label_batch(texts, w, trans)
+    exact = repetition.exact_shares(texts)
+    assert (exact >= repetition.SHARE).sum() > 50 and ((bad / size)[exact >= repetition.SHARE] >= repetition.LEAST).all()
 
 
 def test_viterbi_is_the_best_path():
