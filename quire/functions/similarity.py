@@ -44,59 +44,42 @@ def best_match(text: str, fragment: str, slack: int = 3) -> tuple[str, int, floa
     low, high = max(2, n - slack), min(n + slack - 1, len(text))
     if low > high:
         return None
-    if n <= WORD:
-        return _best_by_words(text, fragment, low, high)
-    where: dict[str, int] = {}
-    for i, ch in enumerate(fragment):
-        where[ch] = where.get(ch, 0) | 1 << i
-    full = (1 << n) - 1
-    rows = [where.get(ch, 0) for ch in text]  # the text is read once; a window from each start grows through all sizes
-    known = [0]
-    for r in rows:
-        known.append(known[-1] + (r > 0))
-    best: tuple[float, int, int] | None = None  # ratio, size, start: sizes are compared first, as they come first
-    for at in range(len(text) - low + 1):
-        end = min(at + high, len(text))
-        bound = known[end] - known[at]  # no subsequence is longer than the letters of the window that the fragment has
-        if best and 200.0 * bound / (min(bound, high) + n) < best[0] and 200.0 * bound / (low + n) < best[0]:
-            continue
-        v = full
-        for k in range(at, end):
-            hit = v & rows[k]
-            v = (v + hit | v - hit) & full
-            size = k + 1 - at
-            if size >= low:
-                r = 200.0 * (n - v.bit_count()) / (size + n)
-                if best is None or r > best[0] or r == best[0] and _earlier(text, fragment[0], size, at, best):
-                    best = (r, size, at)
-    if best is None:
-        return None
-    r, size, at = best
-    return text[at : at + size], at, r
-
+    return _grown_windows(text, fragment, low, high)
 
-WORD = 63  # characters of a fragment whose subsequence fits a machine word
 
+def _grown_windows(text: str, fragment: str, low: int, high: int) -> tuple[str, int, float] | None:
+    """The best window by bit-parallel common subsequences, the windows from all starts grown side by side.
 
-def _best_by_words(text: str, fragment: str, low: int, high: int) -> tuple[str, int, float] | None:
-    """The same for short fragments, with the windows from all starts grown side by side."""
-    n = len(fragment)
+    A state is one word for each 64 characters of the fragment; additions carry from word to word.
+    """
+    n, starts = len(fragment), len(text) - low + 1
+    words = -(-n // 64)
     where: dict[str, int] = {}
     for i, ch in enumerate(fragment):
         where[ch] = where.get(ch, 0) | 1 << i
-    rows = np.zeros(len(text) + high, np.uint64)
-    rows[: len(text)] = [where.get(ch, 0) for ch in text]
-    starts = len(text) - low + 1
-    full = np.uint64((1 << n) - 1)
-    v = np.full(starts, full, np.uint64)
+    part = (1 << 64) - 1
+    letters = [where.get(ch, 0) for ch in text]
+    rows = np.zeros((words, len(text) + high), np.uint64)
+    for w in range(words):
+        rows[w, : len(text)] = [x >> 64 * w & part for x in letters]
+    full = [np.uint64(((1 << n) - 1) >> 64 * w & part) for w in range(words)]
+    v = [np.full(starts, f, np.uint64) for f in full]
     like = np.fromiter((ch == fragment[0] for ch in text[:starts]), bool, starts)
     best: tuple[float, bool, int, int] | None = None  # ratio, starts like the fragment, -size, -start
     for size in range(1, high + 1):
-        hit = v & rows[size - 1 : size - 1 + starts]
-        v = (v + hit | v - hit) & full
+        carry = None
+        for w in range(words):
+            hit = v[w] & rows[w, size - 1 : size - 1 + starts]
+            total = v[w] + hit
+            over = total < hit
+            if carry is not None:
+                total += carry
+                over |= total < carry
+            v[w] = (total | v[w] & ~hit) & full[w]
+            carry = over.astype(np.uint64)
         if size >= low:
             have = starts - (size - low)  # windows of this size that the text holds
-            shared = n - np.bitwise_count(v[:have]).astype(np.int64)
+            shared = n - sum(np.bitwise_count(x[:have]).astype(np.int64) for x in v)
             top = int(shared.max())
             r = 200.0 * top / (size + n)
             if best is None or r >= best[0]:
@@ -110,12 +93,6 @@ def _best_by_words(text: str, fragment: str, low: int, high: int) -> tuple[str,
     return text[-at : -at - size], -at, r
 
 
-def _earlier(text: str, first: str, size: int, at: int, best: tuple[float, int, int]) -> bool:
-    """Whether a window wins a tie: it starts like the fragment and the other does not, or alike and it is smaller or earlier."""
-    mine, theirs = text[at] == first, text[best[2]] == first
-    return mine and not theirs or mine == theirs and (size, at) < best[1:]
-
-
 def common_substring(a: str, b: str) -> str:
     """The first longest common substring."""
     m = SequenceMatcher(None, a, b, autojunk=False).find_longest_match()

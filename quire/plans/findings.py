@@ -39,7 +39,7 @@ def exact_locate(spark, sf):
     SELECT r.finding_id, count(*) AS chunks, min(c.chunk_id) AS chunk_id FROM r JOIN your_markdown c ON r.book_id = c.book_id AND contains(c.target, r.key) GROUP BY r.finding_id""")
 def book_locate(spark, sf):
     """Chunks of the book that hold a key which the named chunk lacks; more than one is a duplicate anchor."""
-    return locate.in_book(_residual(spark, sf).select("finding_id", "book_id", "key"), table(spark, sf, "your_markdown", "book_id", "chunk_id", "target"))
+    return locate.in_book(_residual(spark, sf).select("finding_id", "book_id", "key"), spread(table(spark, sf, "your_markdown", "book_id", "chunk_id", "target")))
 
 
 @catalogue.query()
@@ -136,7 +136,7 @@ def json_findings_extract(spark, sf):
 @catalogue.query()
 def edit_gate(spark, sf):
     """Whether an answer is small enough to be written as an edit: short spans, kept bigrams, no boundary moved."""
-    f = table(spark, sf, "max_pipeline", "finding_id", "original_sentence", "corrected_sentence").where("original_sentence is not null and corrected_sentence is not null")
+    f = spread(table(spark, sf, "max_pipeline", "finding_id", "original_sentence", "corrected_sentence").where("original_sentence is not null and corrected_sentence is not null"))
     f = f.withColumn("spans", F.filter(similarity.edit_spans("original_sentence", "corrected_sentence"), lambda s: s["tag"] != "equal"))
     total = lambda low, high: F.aggregate("spans", F.lit(0), lambda a, s: a + s[high] - s[low])
     marks = lambda c: F.regexp_count(c, F.lit("[。！？!?]"))

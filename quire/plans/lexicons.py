@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import dictionary, lexicon
-from .registry import Catalogue, table
+from .registry import Catalogue, spread, table
 
 catalogue = Catalogue()
 
@@ -33,11 +33,11 @@ _FOUND = f"""WITH c AS {_CHARACTERS},
 
 def _characters(spark, sf):
     standard = table(spark, sf, "max_pipeline", "corrected_sentence").select(F.explode(F.split("corrected_sentence", "")).alias("ch"))
-    return lexicon.character_findings(table(spark, sf, "documents", "doc_id", "text"), spark.createDataFrame(FORMS, "ch string, kind string, standard_ch string"), standard, spark.createDataFrame(NOTES, "ch string, note string"))
+    return lexicon.character_findings(spread(table(spark, sf, "documents", "doc_id", "text")), spark.createDataFrame(FORMS, "ch string, kind string, standard_ch string"), standard, spark.createDataFrame(NOTES, "ch string, note string"))
 
 
 def _words(spark, sf):
-    return lexicon.word_findings(table(spark, sf, "documents", "doc_id", "text"), spark.createDataFrame(WORDS, "word string, standard string"))
+    return lexicon.word_findings(spread(table(spark, sf, "documents", "doc_id", "text")), spark.createDataFrame(WORDS, "word string, standard string"))
 
 
 @catalogue.query(_FOUND + " SELECT * FROM f")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import models, ordered
-from .registry import Catalogue, table
+from .registry import Catalogue, spread, table
 
 catalogue = Catalogue()
 
@@ -71,7 +71,7 @@ def first_seen_documents(spark, sf):
           FROM (SELECT finding_id, replace(original_sentence, ' ', '') AS a, replace(corrected_sentence, ' ', '') AS b FROM max_pipeline WHERE original_sentence IS NOT NULL AND corrected_sentence IS NOT NULL))""")
 def answer_similarity(spark, sf):
     """Bigram similarity of the original and its answer, spaces aside."""
-    f = table(spark, sf, "max_pipeline", "finding_id", "original_sentence", "corrected_sentence").where("original_sentence is not null and corrected_sentence is not null")
+    f = spread(table(spark, sf, "max_pipeline", "finding_id", "original_sentence", "corrected_sentence").where("original_sentence is not null and corrected_sentence is not null"))
     a, b = F.replace("original_sentence", F.lit(" "), F.lit("")), F.replace("corrected_sentence", F.lit(" "), F.lit(""))
     return f.select("finding_id", F.round(T.jaccard(a, b), 6).alias("similarity"))
 
@@ -85,7 +85,7 @@ def answer_similarity(spark, sf):
     SELECT t.finding_id, round(coalesce(kept, 0)::DOUBLE / total, 3) AS retention FROM t LEFT JOIN k USING (finding_id)""")
 def bigram_retention(spark, sf):
     """Share of the original's bigrams, counted as often as they occur, that the answer keeps."""
-    f = table(spark, sf, "max_pipeline", "finding_id", "original_sentence", "corrected_sentence").where("original_sentence is not null and corrected_sentence is not null")
+    f = spread(table(spark, sf, "max_pipeline", "finding_id", "original_sentence", "corrected_sentence").where("original_sentence is not null and corrected_sentence is not null"))
     return models.retention(f, "finding_id", "original_sentence", "corrected_sentence")
 
 
