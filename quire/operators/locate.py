@@ -13,7 +13,8 @@ from ..functions import text as T
 from . import lexicon
 
 ACCEPT, LEAD = 60.0, 5.0
-ANCHOR = 8  # characters of a key by which its places in a book are looked up
+ANCHOR = 8  # characters of the n-gram by which a key's places in a book are looked up
+PICKED = 8  # one n-gram in so many is laid out
 
 
 def key_text(c):
@@ -40,14 +41,18 @@ def in_named_chunk(findings: DataFrame, chunks: DataFrame) -> DataFrame:
 def in_book(keys: DataFrame, chunks: DataFrame) -> DataFrame:
     """``finding_id, chunks, chunk_id``: how many chunks of its book contain a key, and the first of them.
 
-    ``keys``: (finding_id, book_id, key), keys not blank. A contains join by the key's first characters: the chunks'
-    n-grams that begin some key are joined on (book, n-gram), and the whole key is compared where they meet. Books of
-    many rows are not paired with themselves: what grows is the n-grams, evenly.
+    ``keys``: (finding_id, book_id, key), keys not blank. A contains join by one n-gram of each key: only n-grams
+    whose hash is divisible by PICKED are laid out, one in PICKED of the chunks' on average, and a key is joined by its
+    first such on (book, n-gram); the whole key is compared where they meet. Keys without one, short ones for
+    the most part, are searched for as a lexicon. Books of many rows are not paired with themselves.
     """
-    k = keys.where(F.length("key") >= ANCHOR).select("finding_id", "book_id", "key", F.left("key", F.lit(ANCHOR)).alias("gram"))
-    g = chunks.where(F.length("target") >= ANCHOR).select("book_id", "chunk_id", F.inline(T.gram_positions(F.col("target"), ANCHOR)))
-    long = g.join(k.select("gram").distinct(), "gram", "left_semi").join(k, ["book_id", "gram"]).select("finding_id", "chunk_id", "pos", "key")
-    few = keys.where(F.length("key") < ANCHOR).select("finding_id", "book_id", "key")
+    picked = lambda x: F.pmod(F.xxhash64(x), F.lit(PICKED)) == 0
+    first = F.filter(T.gram_positions(F.col("key"), ANCHOR), lambda x: picked(x["gram"]))
+    anchored = keys.select("finding_id", "book_id", "key", F.get(first, F.lit(0)).alias("anchor"))
+    k = anchored.where("anchor is not null").select("finding_id", "book_id", "key", "anchor.gram", F.col("anchor.pos").alias("off"))
+    g = chunks.where(F.length("target") >= ANCHOR).select("book_id", "chunk_id", F.inline(T.gram_positions(F.col("target"), ANCHOR))).where(picked(F.col("gram")))
+    long = g.join(k, ["book_id", "gram"]).where("pos >= off").select("finding_id", "chunk_id", (F.col("pos") - F.col("off")).alias("pos"), "key")
+    few = anchored.where("anchor is null").drop("anchor")
     found = lexicon.word_findings(chunks.select("chunk_id", "target"), few.select(F.col("key").alias("word"), F.col("key").alias("standard")).distinct(), "chunk_id", "target")
     at = found.join(chunks.select("chunk_id", "book_id"), "chunk_id").select("book_id", "chunk_id", F.col("start_pos").alias("pos"), F.col("word").alias("key"))
     parts = [long, at.join(few, ["book_id", "key"]).select("finding_id", "chunk_id", "pos", "key")]

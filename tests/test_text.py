@@ -100,6 +100,13 @@ def test_locate(spark):
     assert {r["finding_id"]: (r["outcome"], r["position"], r["occurrences"]) for r in got.collect()} == {1: ("located", 1, 2), 2: ("not_in_chunk", -1, 0), 3: ("p_out_of_range", -1, 0), 4: ("empty_key_text", -1, 0), 5: ("not_in_chunk", -1, 0)}
     book = locate.in_book(got.where("outcome in ('not_in_chunk', 'p_out_of_range')").select("finding_id", "book_id", "key"), c)
     assert {r["finding_id"]: (r["chunks"], r["chunk_id"]) for r in book.collect()} == {3: (2, 1), 5: (1, 1)}
+    rng = random.Random(6)
+    texts = ["".join(rng.choice("甲乙丙丁戊己庚辛") for _ in range(200)) for _ in range(12)]
+    keys = [(n, n % 2, texts[n % 12][n : n + rng.randint(1, 40)]) for n in range(150)] + [(900, 0, "x" * 30)]
+    many = spark.createDataFrame([(i, i % 2, t) for i, t in enumerate(texts)], "chunk_id int, book_id int, target string")
+    got = {r["finding_id"]: (r["chunks"], r["chunk_id"]) for r in locate.in_book(spark.createDataFrame(keys, "finding_id int, book_id int, key string"), many).collect()}
+    want = {f: (len(at), at[0]) for f, book, key in keys if (at := [i for i, t in enumerate(texts) if i % 2 == book and key in t])}
+    assert got == want
     ties = spark.createDataFrame([(1, 1, 90.0), (1, 2, 88.0), (2, 1, 90.0), (2, 2, 70.0)], "finding_id int, chunk_id int, ratio double")
     assert {r["finding_id"]: r["outcome"] for r in locate.clear_winner(ties).collect()} == {1: "fuzzy_tie", 2: "located"}
 
