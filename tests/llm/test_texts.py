@@ -217,6 +217,16 @@ def test_garbled_rows(spark, model):
     assert [r["chunk_id"] for r in garbled.restored(df, model).collect()] == [1, 1]
 
 
+def test_characters_are_counted_in_all_rows(spark, tmp_path):
+    rng = random.Random(10)
+    rare, chain = "벽새용조", ("utf-8", "cp1252")
+    rows = [(k, prose(rng, 12) + "。") for k in range(18_000)]
+    rows += [(18_000 + k, f"天地{rare}玄黄。") for k in range(4)] + [(18_010, "天地" + garbled.garble(rare * 3, chain) + "玄黄。")]
+    spark.createDataFrame(rows, "chunk_id long, target string").write.parquet(f"{tmp_path}/your_markdown.parquet")
+    got = {r["chunk_id"]: r["restored"] for r in garbled.repairs(spark, str(tmp_path)).collect()}
+    assert got == {18_010: "天地" + rare * 3 + "玄黄。"}
+
+
 # Problem 6
 
 
