@@ -255,6 +255,14 @@ def test_look_alike_rows(spark):
     assert lookalike.vocabulary_of(spark.createDataFrame([("copy copy copy rare",)], "text string")).words == {"copy"}
 
 
+def test_look_alikes_of_words_beyond_the_trie(spark, monkeypatch):
+    monkeypatch.setattr(lookalike, "VOCABULARY_WORDS", 1)
+    df = spark.createDataFrame([("a", 1, "paper " * 40 + "copy " * 4 + "ape " * 5 + "река " * 3), ("a", 2, "a сору of"), ("a", 3, "a рое of"), ("a", 4, "тетрадь сору"), ("a", 5, "peкa")], "tbl string, rec_id long, text string")
+    v = lookalike.vocabulary_of(df)
+    assert v.words == {"paper", "copy", "река"}
+    assert [(r["rec_id"], r["normalized"]) for r in lookalike.normalized(df, v).collect()] == [(2, "a copy of"), (5, "река")]
+
+
 # Problem 8
 
 
