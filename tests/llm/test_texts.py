@@ -217,6 +217,14 @@ def test_garbled_rows(spark, model):
     assert [r["chunk_id"] for r in garbled.restored(df, model).collect()] == [1, 1]
 
 
+def test_lone_damage_is_found(spark, model):
+    texts = ["天地玄黄\ue000宇宙洪荒。", "Der Müller prüfte\x85 die Brücke.", "Der Müller\x81 prüfte die Brücke."]
+    unseen = garbled.Model(model.best - 100, model.odds, model.common)  # a score that no text reaches
+    assert garbled.scan(texts, unseen) == []
+    df = spark.createDataFrame(list(enumerate(texts)), "chunk_id long, target string")
+    assert sorted((r["chunk_id"], r["damage"]) for r in garbled.restored(df, unseen).collect()) == [(0, 1), (2, 1)]
+
+
 def test_characters_are_counted_in_all_rows(spark, tmp_path):
     rng = random.Random(10)
     rare, chain = "벽새용조", ("utf-8", "cp1252")
