@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -68,3 +69,17 @@ def sample(df: DataFrame, key: str, column: str, rows: int) -> list[str]:
     step = max(1, df.count() // rows)
     picked = have.where(F.pmod(F.xxhash64(key), F.lit(step)) == 0).limit(2 * rows).collect()
     return [r[column] for r in sorted(picked, key=lambda r: (str(r[key]), r[column]))]
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The rows of ``df`` computed once and written to the cluster's checkpoint folder, which ends their lineage.
+
+    The folder is the one of ``spark.checkpoint.dir``; only a local session without one gets a temporary folder.
+    """
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint"))
+    return df.checkpoint()

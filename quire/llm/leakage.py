@@ -1,34 +1,41 @@
 """Problem 8: evaluation items that occur in the corpus.
 
-Prefix-filtered set join on shingles of letters and digits. The shingles of the items are counted over the
-whole corpus and ordered by rarity; an item that shares at least SHARED of its shingles with a document
-must share one of its rarest ``n - ceil(SHARED * n) + 1``, its prefix. Documents that hit a prefix and,
-within a window of the item's length, enough of its shingles are verified: matching blocks
-are chained in the order of both texts, and the chain must hold half of the item's letters.
+Prefix-filtered set join on shingles of letters and digits. One scan of the corpus finds the places of shingles that
+may be an item's (a bitmap of fixed size rules the others out) and gathers neighbouring places into windows, which
+carry their letters. Everything after that runs on the windows: the shingles of the items are counted there and ordered
+by rarity; an item of which a passage shares SHARED of the shingles or more shares one of its rarest
+``n - ceil(SHARED * n) + 1``, its prefix, so prefixes alone are joined with the windows. A joined place passes if the letters
+before and after it on both sides still leave room for HELD of the item. The pairs left are verified: matching
+blocks are chained in the order of both texts, and the chain must hold HELD of the item's letters.
 """
 
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import arrow_map, spread, table
+from .common import arrow_map, cut, spread, table
 from .ngram import codes, grams, letters
 
 #: Letters of a shingle in scripts that write syllables or words with one character, and in others.
 DENSE_GRAM, GRAM = 6, 12
-DENSE = re.compile("[぀-ヿ㐀-䶿一-鿿가-힣豈-﫿\U00020000-\U0003ffff]")
+DENSE = re.compile("[぀-ヿ㐀-䶿一-鿿가-힣豈-﫿\U00020000-\U0003ffff]")
 SHARED = 0.2  # shingles that half an item still shares when single letters are altered
 HELD = 0.5  # letters of the item that a document must hold
 GAP = 48  # letters between two blocks of one passage
 ITEM_DENSITY, DOC_DENSITY = 0.8, 0.6  # held letters against the stretch of the item, and of the document, that the passage spans
-BLOCK_ITEMS = 2000  # items searched in one pass over the corpus
+BITS = 24  # bits of a shingle that the bitmap tells apart; it has 2 MB however many items there are
+HOT = 1000  # a shingle with more than this part of all places is split; there are fewer than HOT such shingles
+ITEM_BYTES = 64 << 20  # letters of all items up to which they are broadcast; beyond, pairs and items meet by a salted join
+ITEM_SALTS = 16
 
+ITEMS = "item_id long, key long, times int, item string, size int, need int, gram array<long>, at array<int>"
+WINDOWS = "row long, doc_id long, start int, letters string, gram array<long>, at array<int>"
 PAIRS = "doc_id long, item_id long, held double, start_pos int, end_pos int"
 
 
@@ -36,69 +43,14 @@ def gram_size(text: str) -> int:
     return DENSE_GRAM if 2 * len(DENSE.findall(text)) >= len(text) else GRAM
 
 
-@dataclass
-class Items:
-    """One block of items as sorted shingle tables, one for each shingle size."""
-
-    ids: list[int]
-    texts: list[str]
-    size: list[int]
-    hashes: dict[int, np.ndarray]  # distinct shingles, sorted
-    first: dict[int, np.ndarray]  # of each shingle: the start of its entries in owner and at
-    owner: dict[int, np.ndarray]
-    at: dict[int, np.ndarray]
-    need: np.ndarray  # of each item: shingles a document must share
-    prefix: dict[int, np.ndarray] | None = None  # of each entry: whether it is in its item's prefix
-
-
-def build(ids: list[int], texts: list[str]) -> Items:
-    texts = [letters(t or "") for t in texts]
-    size = [gram_size(t) for t in texts]
-    hashes, first, owner, at = {}, {}, {}, {}
-    need = np.ones(len(texts), np.int64)
-    for k in (DENSE_GRAM, GRAM):
-        mine = [i for i, t in enumerate(texts) if size[i] == k and len(t) >= k]
-        h = [grams(codes([texts[i]])[0], k) for i in mine]
-        for i, x in zip(mine, h):
-            need[i] = max(1, int(np.ceil(SHARED * len(np.unique(x)))))
-        own = np.repeat(np.array(mine, np.int64), [len(x) for x in h])
-        pos = np.concatenate([np.arange(len(x)) for x in h]) if h else np.empty(0, np.int64)
-        h = np.concatenate(h) if h else np.empty(0, np.uint64)
-        order = np.lexsort((pos, own, h))
-        h, owner[k], at[k] = h[order], own[order], pos[order]
-        hashes[k], start = np.unique(h, return_index=True)
-        first[k] = np.append(start, len(h))
-    return Items(ids, texts, size, hashes, first, owner, at, need)
-
-
-def order_by_rarity(items: Items, counts: dict[int, int]) -> None:
-    """Marks each item's prefix: all but its most frequent shingles, of which a sharing document must have one."""
-    items.prefix = {}
-    for k, hashes in items.hashes.items():
-        n = np.array([counts.get(int(h), 0) for h in hashes.view(np.int64)], np.int64)
-        each = np.repeat(np.arange(len(hashes)), np.diff(items.first[k]))
-        prefix = np.zeros(len(each), bool)
-        for i in np.unique(items.owner[k]):
-            mine = np.nonzero(items.owner[k] == i)[0]
-            distinct = np.unique(each[mine])
-            rarest = distinct[np.argsort(n[distinct], kind="stable")][: len(distinct) - items.need[i] + 1]
-            prefix[mine] = np.isin(each[mine], rarest)
-        items.prefix[k] = prefix
-
-
-def look_up(items: Items, k: int, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions whose shingle is one of the items', and which it is."""
-    h, known = grams(chars, k), items.hashes[k]
-    if not len(h) or not len(known):
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    # a table of the top bits rules most positions out before the search
-    top = np.zeros(1 << 20, bool)
-    top[known >> np.uint64(44)] = True
-    maybe = np.nonzero(top[h >> np.uint64(44)])[0]
-    slot = np.searchsorted(known, h[maybe])
-    slot[slot == len(known)] = 0
-    hit = known[slot] == h[maybe]
-    return maybe[hit], slot[hit]
+def shingles(chars: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of the shingles from each position on, told apart by their length."""
+    with np.errstate(over="ignore"):
+        return grams(chars, k) ^ np.uint64(k) * np.uint64(0xD6E8FEB86659FD93)
+
+
+def bit_of(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(64 - BITS)).astype(np.int64)
 
 
 def common_subsequence(a: str, b: str) -> int:
@@ -150,86 +102,158 @@ def chain(item: str, doc: str, p: np.ndarray, q: np.ndarray, k: int) -> tuple[in
     return best[top][0] if dense(top) else 0, best[top][1], blocks[top][0] + blocks[top][2]
 
 
-def matches(items: Items, texts: list[str]) -> list[tuple[int, int, float, int, int]]:
-    """``(text, item, held share, start, end)`` for every text and item it holds; offsets count letters."""
-    norm = [letters(t) for t in texts]
-    chars, starts = codes(norm)
-    out = []
-    for k in items.hashes:
-        pos, slot = look_up(items, k, chars)
-        if not len(pos):
-            continue
-        text = np.searchsorted(starts, pos, "right") - 1
-        ok = pos + k <= starts[text + 1]
-        pos, slot, text = pos[ok], slot[ok], text[ok]
-        many = np.diff(items.first[k])[slot]
-        row = np.repeat(np.arange(len(pos)), many)
-        entry = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many) + items.first[k][slot[row]]
-        pair = text[row] * len(items.ids) + items.owner[k][entry]
-        order = np.argsort(pair, kind="stable")
-        row, entry, pair = row[order], entry[order], pair[order]
-        pairs, begin, count = np.unique(pair, return_index=True, return_counts=True)
-        hit_prefix = np.add.reduceat(items.prefix[k][entry], begin) > 0
-        able = hit_prefix & (count >= items.need[pairs % len(items.ids)])
-        for one, a, n in zip(pairs[able].tolist(), begin[able].tolist(), count[able].tolist()):
-            t, i = divmod(one, len(items.ids))
-            p, q = pos[row[a : a + n]] - starts[t], items.at[k][entry[a : a + n]]
-            distinct = np.unique(q)
-            if len(distinct) < items.need[i]:
-                continue
-            held, x, y = chain(items.texts[i], norm[t], p, q, k)
-            if held >= HELD * len(items.texts[i]):
-                out.append((t, i, min(1.0, held / len(items.texts[i])), x, y))
-    return out
+def items_of(benchmark: DataFrame) -> DataFrame:
+    """One row per different item: its letters, shingles with their places, and how many of them a passage must share.
 
+    ``times`` counts repeated rows. Null texts and texts shorter than a shingle are no items.
+    """
+
+    def rows(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        out = []
+        for item_id, key, times, text in zip(*(c.to_pylist() for c in batch.columns)):
+            text = letters(text)
+            k = gram_size(text)
+            if len(text) >= k:
+                h = shingles(codes([text])[0], k)
+                need = max(1, int(np.ceil(SHARED * len(np.unique(h)))))
+                out.append((item_id, key, times, text, k, need, h.view(np.int64), np.arange(len(h), dtype=np.int32)))
+        if not out:
+            return None
+        types = [pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32())]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], [f.split()[0] for f in ITEMS.split(", ")])
+
+    given = benchmark.where("text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
+    given = given.groupBy("item_id", "text").agg(F.count("*").cast("int").alias("times"))
+    return arrow_map(given.select("item_id", F.xxhash64("item_id", "text").alias("key"), "times", "text"), rows, ITEMS)
+
+
+def bitmap_of(items: DataFrame) -> tuple[np.ndarray, int, int]:
+    """``(bitmap of the first BITS bits of all shingles, least need of an item, bytes of all items' letters)``."""
+    least = items.agg(F.min("need"), F.sum(F.octet_length("item"))).first()
+    parts = items.select(F.explode("gram").alias("h")).select((F.shiftrightunsigned("h", 64 - BITS) + 1).alias("s")).groupBy(F.bitmap_bucket_number("s").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("m"))
+    bits = np.zeros(1 << (BITS - 3), np.uint8)
+    for r in parts.collect():  # at most 2 ** (BITS - 15) rows of 4 KB
+        bits[(r["b"] - 1) * 4096 : r["b"] * 4096] = np.frombuffer(r["m"], np.uint8)
+    return bits, least[0] or 0, least[1] or 0
 
-def leaks(docs: DataFrame, items: DataFrame, text_col: str = "text") -> DataFrame:
-    """``doc_id, item_id, held, start_pos, end_pos``: every document and item of which it holds half or more.
 
-    Offsets count the letters and digits of the document. Null texts and texts without a shingle match nothing;
-    repeated rows match each for itself. The items are the stated query set: they are read in blocks of
-    BLOCK_ITEMS, each of which goes to the workers whole and costs two passes over the corpus (counts, search).
+def windows_of(docs: DataFrame, bits: np.ndarray, need: int) -> DataFrame:
+    """The stretches of the documents whose places of possible item shingles lie at most GAP letters apart.
+
+    A stretch with fewer than ``need`` different ones can hold no passage and is left out. This is the one scan of the corpus.
     """
-    query = items.where("text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text").orderBy("item_id")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    out, last = None, None
-    while block := query.where(F.lit(True) if last is None else F.col("item_id") > last).limit(BLOCK_ITEMS).collect():
-        last = block[-1]["item_id"]
-        found = _leaks(docs, build([r["item_id"] for r in block], [r["text"] for r in block]))
-        out = found if out is None else out.unionByName(found)
-        if len(block) < BLOCK_ITEMS:
-            break
-    return docs.sparkSession.createDataFrame([], PAIRS) if out is None else out
-
-
-def _leaks(docs: DataFrame, items: Items) -> DataFrame:
-    def count(batch: pa.RecordBatch) -> pa.RecordBatch:
-        norm = [letters(t) for t in batch.column(0).to_pylist() if t]
+    shared = docs.sparkSession.sparkContext.broadcast(bits)
+
+    def rows(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        row, doc, texts = batch.column(0), batch.column(1), batch.column(2).to_pylist()
+        norm = [letters(t) for t in texts]
         chars, starts = codes(norm)
-        hashes, n = [], []
-        for k in items.hashes:
-            pos, slot = look_up(items, k, chars)
-            pos_ok = pos + k <= starts[np.searchsorted(starts, pos, "right")] if len(pos) else pos
-            tally = np.bincount(slot[pos_ok] if len(pos) else slot, minlength=len(items.hashes[k]))
-            some = np.nonzero(tally)[0]
-            hashes.append(items.hashes[k][some].view(np.int64))
-            n.append(tally[some])
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(hashes)), pa.array(np.concatenate(n))], ["gram", "n"])
-
-    counted = arrow_map(docs.select("text"), count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    order_by_rarity(items, {r["gram"]: r["n"] for r in counted.toLocalIterator()})  # as many as the block has shingles
-
-    def search(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        ids, texts = batch.column(0), [t or "" for t in batch.column(1).to_pylist()]
-        if not (rows := matches(items, texts)):
+        bitmap, at, gram = shared.value, [], []
+        for k in (DENSE_GRAM, GRAM):
+            h = shingles(chars, k)
+            s = bit_of(h)
+            p = np.nonzero(bitmap[s >> 3] >> (s & 7).astype(np.uint8) & 1)[0]
+            p = p[p + k <= starts[np.searchsorted(starts, p, "right")]]
+            at.append(p)
+            gram.append(h[p])
+        at, gram = np.concatenate(at), np.concatenate(gram)
+        if not len(at):
+            return None
+        order = np.lexsort((gram, at))
+        at, gram = at[order], gram[order]
+        text = np.searchsorted(starts, at, "right") - 1
+        first = np.nonzero(np.append(True, (np.diff(text) != 0) | (np.diff(at) > GAP + GRAM)))[0]
+        out = []
+        for a, b in zip(first.tolist(), np.append(first[1:], len(at)).tolist()):
+            if b - a >= need and len(np.unique(gram[a:b])) >= need:
+                t = int(text[a])
+                low = int(at[a] - starts[t])
+                out.append((t, low, norm[t][low : int(at[b - 1] - starts[t]) + GRAM], gram[a:b].view(np.int64), (at[a:b] - at[a]).astype(np.int32)))
+        if not out:
+            return None
+        t, low, passage, g, p = zip(*out)
+        take = pa.array(t)
+        cols = [row.take(take), doc.take(take), pa.array(low, pa.int32()), pa.array(passage, pa.string()), pa.array(g, pa.list_(pa.int64())), pa.array(p, pa.list_(pa.int32()))]
+        return pa.RecordBatch.from_arrays(cols, [f.split()[0] for f in WINDOWS.split(", ")])
+
+    given = docs.where("text is not null").select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return arrow_map(given, rows, WINDOWS).withColumn("win", F.monotonically_increasing_id())
+
+
+def prefixes_of(items: DataFrame, counts: DataFrame) -> DataFrame:
+    """``key, gram, q, size, n``: of each item the rarest shingles, of which every passage that shares ``need`` has one."""
+    each = items.select("key", F.length("item").alias("size"), "need", F.inline(F.arrays_zip("gram", F.col("at").alias("q")))).join(counts, "gram", "left").fillna(0, ["n"])
+    rank = F.dense_rank().over(Window.partitionBy("key").orderBy("n", "gram"))  # an item has as many rows as letters
+    each = each.withColumn("rank", rank).withColumn("distinct", F.max("rank").over(Window.partitionBy("key")))
+    return each.where((F.col("rank") <= F.col("distinct") - F.col("need") + 1) & (F.col("n") > 0)).select("key", "gram", "q", "size", "n")
+
+
+def candidates_of(windows: DataFrame, items: DataFrame, places: int) -> DataFrame:
+    """``win, key``: windows and items that meet on a prefix shingle with room for HELD of the item around it."""
+    counts = windows.select(F.explode("gram").alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
+    share = max(1, places // HOT)
+    salts = F.ceil(F.col("n") / share).cast("int")
+    hot = counts.where(F.col("n") > share).select("gram", salts.alias("salts"))  # fewer than HOT rows, for their places are more than all
+    hits = windows.select("win", F.length("letters").alias("room"), F.inline(F.arrays_zip("gram", F.col("at").alias("p"))))
+    hits = hits.join(F.broadcast(hot), "gram", "left").withColumn("salt", F.pmod(F.xxhash64("win"), F.coalesce("salts", F.lit(1))).cast("int"))
+    prefix = prefixes_of(items, counts).withColumn("salt", F.explode(F.sequence(F.lit(0), F.greatest(salts, F.lit(1)) - 1)))
+    fits = F.least("p", "q") + F.least(F.col("room") - F.col("p"), F.col("size") - F.col("q")) >= HELD * F.col("size")
+    return hits.join(prefix, ["gram", "salt"]).where((F.col("room") >= HELD * F.col("size")) & fits).select("win", "key").distinct()
+
+
+def verified(pairs: DataFrame) -> DataFrame:
+    """The best chain of every pair of a window and an item that holds HELD of the item."""
+
+    def rows(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        c = {name: batch.column(k) for k, name in enumerate(batch.schema.names)}
+        keep, out, known = [], [], {}
+        for n in range(batch.num_rows):
+            key = c["key"][n].as_py()
+            if key not in known:
+                h, q = np.array(c["item_gram"][n].as_py(), np.int64), np.array(c["item_at"][n].as_py(), np.int64)
+                order = np.argsort(h, kind="stable")
+                known[key] = c["item"][n].as_py(), h[order], q[order]
+            item, h, q = known[key]
+            w, p = np.array(c["gram"][n].as_py(), np.int64), np.array(c["at"][n].as_py(), np.int64)
+            low = np.searchsorted(h, w)
+            many = np.searchsorted(h, w, "right") - low
+            at = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(low, many)
+            if len(np.unique(h[at])) < c["need"][n].as_py():
+                continue
+            held, a, b = chain(item, c["letters"][n].as_py(), np.repeat(p, many), q[at], c["size"][n].as_py())
+            if held >= HELD * len(item):
+                keep.append(n)
+                out.append((min(1.0, held / len(item)), a + c["start"][n].as_py(), b + c["start"][n].as_py()))
+        if not keep:
             return None
-        t, i, held, a, b = zip(*rows)
-        return pa.RecordBatch.from_arrays(
-            [ids.take(pa.array(t)), pa.array([items.ids[x] for x in i], pa.int64()), pa.array(held, pa.float64()), pa.array(a, pa.int32()), pa.array(b, pa.int32())],
-            ["doc_id", "item_id", "held", "start_pos", "end_pos"],
-        )
+        take, cols = pa.array(keep), [pa.array(x, t) for x, t in zip(zip(*out), (pa.float64(), pa.int32(), pa.int32()))]
+        return pa.RecordBatch.from_arrays([*(c[x].take(take) for x in ("row", "key", "doc_id", "item_id", "times")), *cols], ["row", "key", "doc_id", "item_id", "times", "held", "start_pos", "end_pos"])
 
-    return arrow_map(docs, search, PAIRS)
+    return arrow_map(pairs, rows, "row long, key long, doc_id long, item_id long, times int, held double, start_pos int, end_pos int")
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
+    """``doc_id, item_id, held, start_pos, end_pos``: every document and item of which it holds half or more.
+
+    Offsets count the letters and digits of the document, of the best passage. Null texts and texts without a shingle
+    match nothing; repeated rows of either side match each for itself. The corpus is read once however many items
+    there are: its windows are cut by a checkpoint, and counts, join and verification read those.
+    """
+    docs = docs.select("doc_id", F.col(text_col).alias("text"))
+    items = cut(items_of(benchmark.select("item_id", "text")))
+    bits, need, size = bitmap_of(items)
+    windows = cut(windows_of(docs, bits, max(1, need)))
+    places = windows.agg(F.sum(F.size("gram"))).first()[0] or 0
+    pairs = candidates_of(windows, items, places).join(windows, "win")
+    asked = items.select("key", "item_id", "times", "item", "size", "need", F.col("gram").alias("item_gram"), F.col("at").alias("item_at"))
+    if size <= ITEM_BYTES:
+        pairs = pairs.join(F.broadcast(asked), "key")
+    else:
+        salted = asked.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(ITEM_SALTS - 1))))
+        pairs = pairs.withColumn("salt", F.pmod(F.xxhash64("win"), F.lit(ITEM_SALTS)).cast("int")).join(salted, ["key", "salt"]).drop("salt")
+    best = verified(pairs).groupBy("row", "key").agg(F.max_by(F.struct("doc_id", "item_id", "times", "held", "start_pos", "end_pos"), F.struct("held", -F.col("start_pos"))).alias("b"))
+    best = best.select("b.*").withColumn("time", F.explode(F.sequence(F.lit(1), F.col("times"))))
+    return best.select("doc_id", "item_id", "held", "start_pos", "end_pos")
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quire.llm import garbled, leakage, lookalike, markup, pairs, pieces, repetition, sentences
 from quire.llm.ngram import codes, grams, letters
@@ -291,13 +292,40 @@ def test_leaks(spark):
     assert leaked(spark, docs, [(1, None)]) == []
 
 
-def test_prefix_loses_no_pair():
+def test_prefix_loses_no_pair_and_joins_less(spark):
     rng = random.Random(12)
-    texts = [prose(rng, 100) for _ in range(20)]
-    items = leakage.build(list(range(20)), texts)
-    leakage.order_by_rarity(items, {})
-    docs = [prose(rng, 40) + t[20:80] + prose(rng, 40) for t in texts]
-    assert {(t, i) for t, i, *_ in leakage.matches(items, docs)} == {(k, k) for k in range(20)}
+    stock = "请找出下列段落中的错误并逐条写在答卷背面"
+    texts = [stock + prose(rng, 90) for _ in range(20)]
+    docs = [(k, prose(rng, 40) + t[len(stock) + 10 : len(stock) + 75] + prose(rng, 40)) for k, t in enumerate(texts)] + [(100 + k, stock + prose(rng, 60)) for k in range(20)]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    items = leakage.items_of(spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")).cache()
+    bits, _, _ = leakage.bitmap_of(items)
+    windows = leakage.windows_of(d, bits, 1).cache()
+    places = [(r["doc_id"], r["key"]) for r in leakage.candidates_of(windows, items, 10_000).join(windows, "win").select("doc_id", "key").distinct().collect()]
+    key = {r["item_id"]: r["key"] for r in items.collect()}
+    assert {(k, key[k]) for k in range(20)} <= set(places)
+    shared = windows.select("doc_id", F.explode("gram").alias("gram")).join(items.select("key", F.explode("gram").alias("gram")), "gram").select("doc_id", "key").distinct()
+    assert len(places) < shared.count() / 5  # without prefix and bounds every text with the stock words meets every item
+    assert leaked(spark, docs, list(enumerate(texts))) == [(k, k) for k in range(20)]
+
+
+def test_hot_shingles_are_split_and_lose_nothing(spark, monkeypatch):
+    rng = random.Random(18)
+    item = prose(rng, 80)
+    docs = [(k, prose(rng, 30) + item + prose(rng, 30)) for k in range(60)]
+    for name, value in (("HOT", 10_000), ("HOT", 2), ("ITEM_BYTES", -1)):
+        monkeypatch.setattr(leakage, name, value)
+        assert leaked(spark, docs, [(1, item), (1, item), (2, prose(rng, 90))]) == sorted([(k, 1) for k in range(60)] * 2)
+
+
+def test_corpus_is_read_once(spark, tmp_path):
+    rng = random.Random(19)
+    texts = [prose(rng, 100) for _ in range(50)]
+    spark.createDataFrame([(k, prose(rng, 50) + t) for k, t in enumerate(texts)], "doc_id long, text string").write.parquet(str(tmp_path / "d"))
+    items = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
+    got = leakage.leaks(spark.read.parquet(str(tmp_path / "d")), items)
+    assert "parquet" not in got._jdf.queryExecution().executedPlan().toString().lower()  # what is left reads the windows only
+    assert got.count() == 50
 
 
 # Problem 9
