@@ -3,9 +3,9 @@
 Prefix-filtered set join on shingles of letters and digits. One scan of the corpus finds the places of shingles that
 may be an item's (a bitmap of fixed size rules the others out) and gathers neighbouring places into windows, which
 carry their letters. Everything after that runs on the windows: the shingles of the items are counted there and ordered
-by rarity; an item of which a passage shares SHARED of the shingles or more shares one of its rarest
-``n - ceil(SHARED * n) + 1``, its prefix, so prefixes alone are joined with the windows. A joined place passes if the letters
-before and after it on both sides still leave room for HELD of the item. The pairs left are verified: matching
+by rarity. A passage that shares ``need = ceil(SHARED * n)`` of an item's n shingles or more shares at least ``l`` of its rarest
+``n - need + l``, its prefix, so prefixes alone are joined with the windows, with l the half of need. A joined place
+counts if the letters before and after it on both sides still leave room for HELD of the item. The pairs with l places are verified: matching
 blocks are chained in the order of both texts, and the chain must hold HELD of the item's letters.
 """
 
@@ -15,7 +15,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -25,7 +25,7 @@ from .ngram import codes, grams, letters
 #: Letters of a shingle in scripts that write syllables or words with one character, and in others.
 DENSE_GRAM, GRAM = 6, 12
 DENSE = re.compile("[぀-ヿ㐀-䶿一-鿿가-힣豈-﫿\U00020000-\U0003ffff]")
-SHARED = 0.2  # shingles that half an item still shares when single letters are altered
+SHARED = 0.3  # shingles that half an item still shares when one letter in twelve is altered
 HELD = 0.5  # letters of the item that a document must hold
 GAP = 48  # letters between two blocks of one passage
 ITEM_DENSITY, DOC_DENSITY = 0.8, 0.6  # held letters against the stretch of the item, and of the document, that the passage spans
@@ -33,6 +33,7 @@ BITS = 24  # bits of a shingle that the bitmap tells apart; it has 2 MB however
 HOT = 1000  # a shingle with more than this part of all places is split; there are fewer than HOT such shingles
 ITEM_BYTES = 64 << 20  # letters of all items up to which they are broadcast; beyond, pairs and items meet by a salted join
 ITEM_SALTS = 16
+PREFIX_ROWS = 1_000_000  # shingles of all items up to which the prefixes are broadcast (some 30 MB); beyond, they meet the places by a salted join
 
 ITEMS = "item_id long, key long, times int, item string, size int, need int, gram array<long>, at array<int>"
 WINDOWS = "row long, doc_id long, start int, letters string, gram array<long>, at array<int>"
@@ -127,14 +128,14 @@ def items_of(benchmark: DataFrame) -> DataFrame:
     return arrow_map(given.select("item_id", F.xxhash64("item_id", "text").alias("key"), "times", "text"), rows, ITEMS)
 
 
-def bitmap_of(items: DataFrame) -> tuple[np.ndarray, int, int]:
-    """``(bitmap of the first BITS bits of all shingles, least need of an item, bytes of all items' letters)``."""
-    least = items.agg(F.min("need"), F.sum(F.octet_length("item"))).first()
+def bitmap_of(items: DataFrame) -> tuple[np.ndarray, int, int, int]:
+    """``(bitmap of the first BITS bits of all shingles, least need of an item, bytes of all items' letters, their shingles)``."""
+    least = items.agg(F.min("need"), F.sum(F.octet_length("item")), F.sum(F.size("gram"))).first()
     parts = items.select(F.explode("gram").alias("h")).select((F.shiftrightunsigned("h", 64 - BITS) + 1).alias("s")).groupBy(F.bitmap_bucket_number("s").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("m"))
     bits = np.zeros(1 << (BITS - 3), np.uint8)
     for r in parts.collect():  # at most 2 ** (BITS - 15) rows of 4 KB
         bits[(r["b"] - 1) * 4096 : r["b"] * 4096] = np.frombuffer(r["m"], np.uint8)
-    return bits, least[0] or 0, least[1] or 0
+    return bits, *(x or 0 for x in least)
 
 
 def windows_of(docs: DataFrame, bits: np.ndarray, need: int) -> DataFrame:
@@ -180,25 +181,35 @@ def windows_of(docs: DataFrame, bits: np.ndarray, need: int) -> DataFrame:
     return arrow_map(given, rows, WINDOWS).withColumn("win", F.monotonically_increasing_id())
 
 
+def fewest(need: Column) -> Column:
+    """Places of an item's prefix that a passage must have."""
+    return F.ceil(need / 2).cast("int")
+
+
 def prefixes_of(items: DataFrame, counts: DataFrame) -> DataFrame:
-    """``key, gram, q, size, n``: of each item the rarest shingles, of which every passage that shares ``need`` has one."""
+    """``key, gram, q, size, n, l``: of each item the rarest shingles, of which every passage that shares ``need`` has ``l``."""
     each = items.select("key", F.length("item").alias("size"), "need", F.inline(F.arrays_zip("gram", F.col("at").alias("q")))).join(counts, "gram", "left").fillna(0, ["n"])
     rank = F.dense_rank().over(Window.partitionBy("key").orderBy("n", "gram"))  # an item has as many rows as letters
-    each = each.withColumn("rank", rank).withColumn("distinct", F.max("rank").over(Window.partitionBy("key")))
-    return each.where((F.col("rank") <= F.col("distinct") - F.col("need") + 1) & (F.col("n") > 0)).select("key", "gram", "q", "size", "n")
+    each = each.withColumn("rank", rank).withColumn("distinct", F.max("rank").over(Window.partitionBy("key"))).withColumn("l", fewest(F.col("need")))
+    return each.where((F.col("rank") <= F.col("distinct") - F.col("need") + F.col("l")) & (F.col("n") > 0)).select("key", "gram", "q", "size", "n", "l")
 
 
-def candidates_of(windows: DataFrame, items: DataFrame, places: int) -> DataFrame:
-    """``win, key``: windows and items that meet on a prefix shingle with room for HELD of the item around it."""
+def candidates_of(windows: DataFrame, items: DataFrame, places: int, shingles: int = PREFIX_ROWS + 1) -> DataFrame:
+    """``win, key``: windows and items that meet on enough prefix shingles with room for HELD of the item around them."""
     counts = windows.select(F.explode("gram").alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
-    share = max(1, places // HOT)
-    salts = F.ceil(F.col("n") / share).cast("int")
-    hot = counts.where(F.col("n") > share).select("gram", salts.alias("salts"))  # fewer than HOT rows, for their places are more than all
     hits = windows.select("win", F.length("letters").alias("room"), F.inline(F.arrays_zip("gram", F.col("at").alias("p"))))
-    hits = hits.join(F.broadcast(hot), "gram", "left").withColumn("salt", F.pmod(F.xxhash64("win"), F.coalesce("salts", F.lit(1))).cast("int"))
-    prefix = prefixes_of(items, counts).withColumn("salt", F.explode(F.sequence(F.lit(0), F.greatest(salts, F.lit(1)) - 1)))
+    prefix = prefixes_of(items, counts)
+    if shingles <= PREFIX_ROWS:
+        met = hits.join(F.broadcast(prefix), "gram")
+    else:
+        share = max(1, places // HOT)
+        salts = F.ceil(F.col("n") / share).cast("int")
+        hot = counts.where(F.col("n") > share).select("gram", salts.alias("salts"))  # fewer than HOT rows, for their places are more than all
+        hits = hits.join(F.broadcast(hot), "gram", "left").withColumn("salt", F.pmod(F.xxhash64("win"), F.coalesce("salts", F.lit(1))).cast("int"))
+        met = hits.join(prefix.withColumn("salt", F.explode(F.sequence(F.lit(0), F.greatest(salts, F.lit(1)) - 1))), ["gram", "salt"])
     fits = F.least("p", "q") + F.least(F.col("room") - F.col("p"), F.col("size") - F.col("q")) >= HELD * F.col("size")
-    return hits.join(prefix, ["gram", "salt"]).where((F.col("room") >= HELD * F.col("size")) & fits).select("win", "key").distinct()
+    met = met.where((F.col("room") >= HELD * F.col("size")) & fits).groupBy("win", "key").agg(F.count("*").alias("places"), F.first("l").alias("l"))
+    return met.where("places >= l").select("win", "key")
 
 
 def verified(pairs: DataFrame) -> DataFrame:
@@ -206,15 +217,21 @@ def verified(pairs: DataFrame) -> DataFrame:
 
     def rows(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         c = {name: batch.column(k) for k, name in enumerate(batch.schema.names)}
+
+        def array(name: str, n: int) -> np.ndarray:
+            low, high = c[name].offsets[n].as_py(), c[name].offsets[n + 1].as_py()
+            return values[name][low:high]
+
+        values = {x: c[x].values.to_numpy() for x in ("gram", "at", "item_gram", "item_at")}
         keep, out, known = [], [], {}
         for n in range(batch.num_rows):
             key = c["key"][n].as_py()
             if key not in known:
-                h, q = np.array(c["item_gram"][n].as_py(), np.int64), np.array(c["item_at"][n].as_py(), np.int64)
+                h = array("item_gram", n)
                 order = np.argsort(h, kind="stable")
-                known[key] = c["item"][n].as_py(), h[order], q[order]
+                known[key] = c["item"][n].as_py(), h[order], array("item_at", n)[order].astype(np.int64)
             item, h, q = known[key]
-            w, p = np.array(c["gram"][n].as_py(), np.int64), np.array(c["at"][n].as_py(), np.int64)
+            w, p = array("gram", n), array("at", n).astype(np.int64)
             low = np.searchsorted(h, w)
             many = np.searchsorted(h, w, "right") - low
             at = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(low, many)
@@ -241,10 +258,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> Data
     """
     docs = docs.select("doc_id", F.col(text_col).alias("text"))
     items = cut(items_of(benchmark.select("item_id", "text")))
-    bits, need, size = bitmap_of(items)
+    bits, need, size, shingles = bitmap_of(items)
     windows = cut(windows_of(docs, bits, max(1, need)))
     places = windows.agg(F.sum(F.size("gram"))).first()[0] or 0
-    pairs = candidates_of(windows, items, places).join(windows, "win")
+    pairs = candidates_of(windows, items, places, shingles).join(windows, "win")
     asked = items.select("key", "item_id", "times", "item", "size", "need", F.col("gram").alias("item_gram"), F.col("at").alias("item_at"))
     if size <= ITEM_BYTES:
         pairs = pairs.join(F.broadcast(asked), "key")

@@ -299,7 +299,7 @@ def test_prefix_loses_no_pair_and_joins_less(spark):
     docs = [(k, prose(rng, 40) + t[len(stock) + 10 : len(stock) + 75] + prose(rng, 40)) for k, t in enumerate(texts)] + [(100 + k, stock + prose(rng, 60)) for k in range(20)]
     d = spark.createDataFrame(docs, "doc_id long, text string")
     items = leakage.items_of(spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")).cache()
-    bits, _, _ = leakage.bitmap_of(items)
+    bits = leakage.bitmap_of(items)[0]
     windows = leakage.windows_of(d, bits, 1).cache()
     places = [(r["doc_id"], r["key"]) for r in leakage.candidates_of(windows, items, 10_000).join(windows, "win").select("doc_id", "key").distinct().collect()]
     key = {r["item_id"]: r["key"] for r in items.collect()}
@@ -313,7 +313,7 @@ def test_hot_shingles_are_split_and_lose_nothing(spark, monkeypatch):
     rng = random.Random(18)
     item = prose(rng, 80)
     docs = [(k, prose(rng, 30) + item + prose(rng, 30)) for k in range(60)]
-    for name, value in (("HOT", 10_000), ("HOT", 2), ("ITEM_BYTES", -1)):
+    for name, value in (("HOT", 10_000), ("PREFIX_ROWS", -1), ("HOT", 2), ("ITEM_BYTES", -1)):
         monkeypatch.setattr(leakage, name, value)
         assert leaked(spark, docs, [(1, item), (1, item), (2, prose(rng, 90))]) == sorted([(k, 1) for k in range(60)] * 2)
 
