@@ -1,97 +1,257 @@
 """Problem 7: items of varying length into containers of fixed capacity.
 
-Bulk-synchronous best fit. Items are sorted by size; items of one size are interchangeable, so a run
-of equal sizes is one entry ``(size, count)`` of the sorted order, and containers with the same
-content are one entry of the sorted gaps. Sizes and gaps are integers of at most the capacity, so both
-orders have at most ``capacity`` entries per container kind however many items there are. A round
-matches every item run that has gaps left to its successor (the smallest gap that holds it), resolves
-conflicts over a gap by rank (larger items first, then by item rank), takes the matched items off, and
-updates the gaps. Rounds repeat until no item is left. What is planned are rank intervals; every item
-then finds its interval by its own rank in the distributed sort.
+Bulk-synchronous best fit. The unplaced items and the gaps of the open containers are rows of one table. A superstep
+sorts them by range, widest first, and sweeps: every item takes its successor, the smallest gap still free that
+holds it, and of the items that want one gap the larger one goes first. The sweep matches like parentheses, so
+each part of the sorted order matches its own rows alone, and what is left over in a part meets the other parts by rank:
+how many gaps and items each part has left tells which ranks belong together. Then gaps are updated, containers are opened for
+items that no gap holds, and the next superstep begins.
+
+Small items travel in bundles of up to half the widest gap, so that a superstep fills a gap by a share of its room and not by
+one item; a bundle that finds no gap comes apart again. Smaller items wait while larger ones fill the gaps. So the number of
+supersteps hardly depends on the number of items, and once no more than FINISH items of a kind are left, they are placed one by one.
 """
 
 from __future__ import annotations
 
 import json
-from bisect import bisect_left
+from bisect import bisect_left, insort
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import table
-
-#: Ranks are numbered within (size, salt), so a size shared by a third of all items is sorted in this many parts.
-SALTS = 64
+from .common import cut, table
 
-PLAN = "container_kind string, size int, from_rank long, to_rank long, first_container long, slot int"
+FINISH = 2000  # items of a kind from which on supersteps are of single items, planned on the driver
 
 #: Container kinds are settings; their list becomes a literal of the query.
 MAX_KINDS = 1000
 
+#: Rows of the state: gaps, unplaced items, placed items (with their container in ``place``).
+GAP, ITEM, PLACED = 0, 1, 2
+STATE = "kx int, t int, id long, w int, place long"
+BUNDLES = "kx int, w int, ids array<long>, sizes array<int>"
+SWEPT = "t int, kx int, part int, rank int, id long, w int, ids array<long>, sizes array<int>"
+
+Histogram = dict[int, int]  # width or size -> how many
+
+
+def bundles(items: DataFrame, room: dict[int, int]) -> DataFrame:
+    """Consecutive items of the range-sorted order in bundles of at most ``room`` of their kind; larger items go alone."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind, total, ids, sizes = None, 0, [], []
+        out: list[tuple] = []
+        for batch in batches:
+            for kx, size, u in zip(*(c.to_pylist() for c in batch.columns)):
+                if ids and (kx != kind or total + size > room[kx]):
+                    out.append((kind, total, ids, sizes))
+                    total, ids, sizes = 0, [], []
+                kind, total = kx, total + size
+                ids.append(u)
+                sizes.append(size)
+            if len(out) > 10_000:
+                yield _batch(out, BUNDLES)
+                out = []
+        if ids:
+            out.append((kind, total, ids, sizes))
+        if out:
+            yield _batch(out, BUNDLES)
+
+    order = [F.col("kx"), F.col("w").desc(), F.col("id")]
+    return items.repartitionByRange(*order).sortWithinPartitions(*order).select("kx", "w", "id").mapInArrow(run, BUNDLES)
+
 
-def plan_runs(runs: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
-    """Plans one container kind: ``(size, from_rank, to_rank, first_container, slot)`` for each match.
+_TYPES = {"int": pa.int32(), "long": pa.int64(), "array<long>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32())}
 
-    Items of ``size`` with ranks ``from_rank <= r < to_rank`` go one by one into the containers from
-    ``first_container`` on. ``runs`` maps sizes of at most ``capacity`` to counts. Size 0 takes no room:
-    such items share container 0.
 
-    The first superstep opens as many containers as the total needs at least; whenever items are left that no
-    gap holds, as many more are opened as those items need at least.
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    fields = [f.split() for f in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, _TYPES[t]) for c, (_, t) in zip(zip(*rows), fields)], [n for n, _ in fields])
+
+
+def sweep(gaps: DataFrame, offered: DataFrame) -> DataFrame:
+    """One pass over gaps and bundles, widest first, in the parts of a range sort.
+
+    Rows: matches (``t`` PLACED, ``id`` the container, ``w`` the gap that remains), and what found no partner in its
+    part with its rank there (GAP or ITEM).
     """
-    plan: list[tuple[int, int, int, int, int]] = []
-    left = dict(sorted(((s, n) for s, n in runs.items() if s > 0 and n > 0), reverse=True))
-    rank = dict.fromkeys(left, 0)
-    if runs.get(0):
-        plan.append((0, 0, runs[0], 0, -1))
-    gaps: dict[int, list[tuple[int, int, int]]] = {}  # width -> groups (first container, containers, items in each)
-    opened = 0
-    while left:
-        widths = sorted(gaps)
-        homeless = 0
-        wants: dict[int, list[int]] = {}
-        for size, n in left.items():  # the sweep: larger sizes come first and so rank first in each gap's list
-            at = bisect_left(widths, size)
-            if at < len(widths):
-                wants.setdefault(widths[at], []).append(size)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        free: list[tuple] = []
+        kind, waiting = None, 0
+        out: list[tuple] = []
+        for batch in batches:
+            for kx, w, t, u, ids, sizes in zip(*(c.to_pylist() for c in batch.columns)):
+                if kx != kind:
+                    out += [(GAP, kind, part, k, g, gw, None, None) for k, (g, gw) in enumerate(free)]
+                    kind, waiting, free = kx, 0, []
+                if t == GAP:
+                    free.append((u, w))
+                elif free:
+                    g, gw = free.pop()
+                    out.append((PLACED, kx, part, 0, g, gw - w, ids, sizes))
+                else:
+                    out.append((ITEM, kx, part, waiting, 0, w, ids, sizes))
+                    waiting += 1
+            if len(out) > 10_000:
+                yield _batch(out, SWEPT)
+                out = []
+        out += [(GAP, kind, part, k, g, gw, None, None) for k, (g, gw) in enumerate(free)]
+        if out:
+            yield _batch(out, SWEPT)
+
+    none = F.lit(None)
+    rows = gaps.select("kx", "w", "t", "id", none.cast("array<long>").alias("ids"), none.cast("array<int>").alias("sizes"))
+    rows = rows.unionByName(offered.select("kx", "w", F.lit(ITEM).alias("t"), F.element_at("ids", 1).alias("id"), "ids", "sizes"))
+    order = [F.col("kx"), F.col("w").desc(), F.col("t"), F.col("id")]  # with the id, rows of one width are split like others
+    return rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, SWEPT)
+
+
+def joined_ranks(left: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int, int, int]]:
+    """Which leftover gaps and items of the parts belong together: ``(kx, item part, first rank, items, gap part, last rank)``.
+
+    ``left``: (kx, part, gaps, items) of each part. The items of a part precede its gaps and take the last free gaps of the parts before.
+    """
+    pieces, free, kind = [], [], None
+    for kx, part, gaps, items in sorted(left):
+        if kx != kind:
+            kind, free = kx, []
+        rank = 0
+        while rank < items and free:
+            whose, many = free.pop()
+            use = min(many, items - rank)
+            pieces.append((kx, part, rank, use, whose, many - 1))
+            rank += use
+            if use < many:
+                free.append((whose, many - use))
+        if gaps:
+            free.append((part, gaps))
+    return pieces
+
+
+def superstep(state: DataFrame, room: dict[int, int], least: dict[int, int]) -> DataFrame:
+    """The state after one superstep: of each kind in ``room``, items of ``least`` or more were offered in bundles of ``room``."""
+    spark = state.sparkSession
+    chosen = spark.createDataFrame([(k, least[k]) for k in room], "kx int, least int")  # one row per kind
+    marked = state.where(F.col("t") != PLACED).join(F.broadcast(chosen), "kx", "left")
+    offered = F.coalesce(F.col("w") >= F.col("least"), F.lit(False))
+    gap = F.col("t") == GAP
+    swept = cut(sweep(marked.where(gap & F.col("least").isNotNull()).select("kx", "w", "t", "id"), bundles(marked.where(~gap & offered).select("kx", "w", "id"), room)))
+    rest = marked.where(F.col("least").isNull() | ~gap & ~offered).select("kx", "t", "id", "w", "place")
+    left = [tuple(r) for r in swept.where(F.col("t") != PLACED).groupBy("kx", "part").agg(F.count_if(F.col("t") == GAP), F.count_if(F.col("t") == ITEM)).collect()]  # one row per part and kind
+    pieces = [(n, *p) for n, p in enumerate(joined_ranks(left))]
+    p = F.broadcast(spark.createDataFrame(pieces, "piece int, kx int, ipart int, first int, many int, gpart int, last int"))
+    g = swept.where(gap).join(p.withColumnRenamed("gpart", "part"), ["kx", "part"], "left_outer").where("piece is null or rank <= last and rank > last - many")
+    g = swept.where(gap).join(g.where("piece is not null").select("kx", "part", "rank", "piece", (F.col("last") - F.col("rank")).alias("k")), ["kx", "part", "rank"], "left")
+    b = swept.where(F.col("t") == ITEM).join(p.withColumnRenamed("ipart", "part"), ["kx", "part"], "left_outer").where("piece is null or rank >= first and rank < first + many")
+    b = swept.where(F.col("t") == ITEM).join(b.where("piece is not null").select("kx", "part", "rank", "piece", (F.col("rank") - F.col("first")).alias("k")), ["kx", "part", "rank"], "left")
+    met = g.where("piece is not null").select("piece", "k", "id", F.col("w").alias("gap")).join(b.where("piece is not null").select("piece", "k", "kx", "w", "ids", "sizes"), ["piece", "k"])
+    met = met.select("kx", "id", (F.col("gap") - F.col("w")).alias("w"), "ids", "sizes").unionByName(swept.where(F.col("t") == PLACED).select("kx", "id", "w", "ids", "sizes"))
+    zipped = F.inline(F.arrays_zip("ids", "sizes"))
+    none = F.lit(None).cast("long").alias("place")
+    parts = [
+        met.where("w > 0").select("kx", F.lit(GAP).alias("t"), "id", "w", none),
+        g.where("piece is null").select("kx", "t", "id", "w", none),
+        met.select("kx", F.col("id").alias("place"), zipped).select("kx", F.lit(PLACED).alias("t"), F.col("ids").alias("id"), F.col("sizes").alias("w"), "place"),
+        b.where("piece is null").select("kx", zipped).select("kx", F.lit(ITEM).alias("t"), F.col("ids").alias("id"), F.col("sizes").alias("w"), none),
+    ]
+    for part in parts:
+        rest = rest.unionByName(part)
+    return cut(rest)
+
+
+def finish(items: Histogram, gaps: Histogram, capacity: int) -> list[tuple[int, int, int, int]]:
+    """Best fit of the last items, largest first: ``(size, rank, width, which)``.
+
+    The item of that size and rank goes into the ``which``-th gap of that width, or with width 0 into the ``which``-th new container.
+    """
+    plan, opened = [], 0
+    whole = dict(gaps)  # untouched gaps by width
+    used: list[tuple[int, int, int]] = []  # (room left, width, which) of gaps already touched
+    widths = sorted(whole)
+    taken = dict.fromkeys(widths, 0)
+    for size in sorted(items, reverse=True):
+        for rank in range(items[size]):
+            at, k = bisect_left(widths, size), bisect_left(used, (size,))
+            if k < len(used) and (at == len(widths) or used[k][0] <= widths[at]):
+                room, width, which = used.pop(k)
+            elif at < len(widths):
+                room = width = widths[at]
+                which = taken[width]
+                taken[width] += 1
+                if taken[width] == whole[width]:
+                    del widths[at]
             else:
-                homeless += size * n
-        if homeless:
-            more = -(-homeless // capacity)
-            gaps.setdefault(capacity, []).append((opened, more, 0))
-            opened += more
-            if not wants:
-                continue
-        matched: list[tuple[int, int, int, int]] = []
-        for width, sizes_ in wants.items():
-            groups = gaps.pop(width)
-            for size in sizes_:
-                while groups and left[size]:
-                    first, many, inside = groups.pop()
-                    use = min(many, left[size])
-                    plan.append((size, rank[size], rank[size] + use, first, inside))
-                    matched.append((width - size, first, use, inside + 1))
-                    rank[size] += use
-                    left[size] -= use
-                    if use < many:
-                        groups.append((first + use, many - use, inside))
-            if groups:
-                gaps[width] = groups + gaps.get(width, [])
-        for width, first, use, inside in matched:  # gaps are updated when the round is over
-            if width:
-                gaps.setdefault(width, []).append((first, use, inside))
-        left = {s: n for s, n in left.items() if n}
+                room, width, which, opened = capacity, 0, opened, opened + 1
+            plan.append((size, rank, width, which))
+            if room > size:
+                insort(used, (room - size, width, which))
     return plan
 
 
-def _plan(pdf: pd.DataFrame) -> pd.DataFrame:
-    kind, capacity = pdf["container_kind"].iloc[0], int(pdf["capacity"].iloc[0])
-    rows = plan_runs(dict(zip(pdf["size"].astype(int), pdf["n"].astype(int))), capacity)
-    out = pd.DataFrame(rows, columns=["size", "from_rank", "to_rank", "first_container", "slot"])
-    out.insert(0, "container_kind", kind)
-    return out
+def _room(items: Histogram, gaps: Histogram) -> tuple[int, int]:
+    """``(room of a bundle, least size offered)``: the largest items that fill what one bundle a gap can take."""
+    room = max(gaps) // 2 or 1
+    want = sum(n * min(w, room) for w, n in gaps.items() if w >= min(items))
+    for size in sorted(items, reverse=True):
+        want -= size * items[size]
+        if want <= 0:
+            return room, size
+    return room, min(items)
+
+
+def place(units: DataFrame, capacities: dict[int, int]) -> DataFrame:
+    """``kx, id, place`` of all units (kx, id, w), with ``0 < w <= capacities[kx]``; ``id`` is unique within a kind."""
+    spark = units.sparkSession
+    state = cut(units.select("kx", F.lit(ITEM).alias("t"), "id", "w", F.lit(None).cast("long").alias("place")))
+    opened, placed = dict.fromkeys(capacities, 0), []
+    while True:
+        counts: dict[tuple[int, int], Histogram] = {(k, t): {} for k in capacities for t in (GAP, ITEM)}
+        for r in state.where(F.col("t") != PLACED).groupBy("kx", "t", "w").count().collect():  # at most twice the capacity of each kind
+            counts[r["kx"], r["t"]][r["w"]] = r["count"]
+        fresh, active, last, closed = None, {}, {}, {}
+        for k, capacity in capacities.items():
+            items, gaps = counts[k, ITEM], counts[k, GAP]
+            if not items:
+                continue
+            closed[k] = min(items)
+            if sum(items.values()) <= FINISH:
+                last[k] = finish(items, gaps, capacity)
+                continue
+            widest = max(gaps, default=0)
+            homeless = sum(s * n for s, n in items.items() if s > widest)
+            if homeless:
+                more = -(-homeless // capacity)
+                rows = spark.range(opened[k], opened[k] + more).select(F.lit(k).alias("kx"), F.lit(GAP).alias("t"), "id", F.lit(capacity).alias("w"), F.lit(None).cast("long").alias("place"))
+                fresh = rows if fresh is None else fresh.unionByName(rows)
+                opened[k] += more
+                gaps[capacity] = gaps.get(capacity, 0) + more
+            active[k] = _room(items, {w: n for w, n in gaps.items() if w >= closed[k]})
+        if not active:
+            break
+        limits = F.broadcast(spark.createDataFrame(list(closed.items()), "kx int, narrow int"))
+        now = state.where(F.col("t") != PLACED).join(limits, "kx").where((F.col("t") == ITEM) | (F.col("w") >= F.col("narrow"))).drop("narrow")
+        state = superstep(now if fresh is None else now.unionByName(fresh), {k: v[0] for k, v in active.items()}, {k: v[1] for k, v in active.items()})
+        placed.append(state.where(F.col("t") == PLACED))
+    done = state.where("false").select("kx", "id", "place")
+    for p in placed:
+        done = done.unionByName(p.select("kx", "id", "place"))
+    rows = [(k, *p) for k, plan in last.items() for p in plan]  # at most FINISH rows a kind
+    if rows:
+        plan = F.broadcast(spark.createDataFrame(rows, "kx int, w int, rank int, width int, which int"))
+        ranked = lambda df: df.withColumn("rank", F.row_number().over(Window.partitionBy("kx", "w").orderBy("id")) - 1).where(F.col("rank") < FINISH)
+        start = F.broadcast(spark.createDataFrame(list(opened.items()), "kx int, opened long"))
+        items = ranked(state.where(F.col("t") == ITEM).select("kx", "w", "id")).join(plan, ["kx", "w", "rank"]).select("kx", "id", "width", "which")
+        gaps = ranked(state.where(F.col("t") == GAP).select("kx", "w", "id")).select("kx", F.col("w").alias("width"), F.col("rank").alias("which"), F.col("id").alias("place"))
+        into = items.join(gaps, ["kx", "width", "which"], "left").join(start, "kx")
+        done = done.unionByName(into.select("kx", "id", F.coalesce("place", F.col("opened") + F.col("which")).alias("place")))
+    return done
 
 
 def sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -107,35 +267,29 @@ def pack(items: DataFrame, containers: DataFrame) -> DataFrame:
     capacity is cut into full parts, each filling a container by itself (``container_id`` is then
     ``-1 - part`` of that item, unique with the item), and a rest that is packed like any item; smaller items
     are never cut. Null sizes, null or non-positive capacities yield no rows; size 0 is an item that takes no
-    room; repeated rows are items of their own. Empty inputs give an empty result.
+    room and goes into container 0; repeated rows are items of their own. Empty inputs give an empty result.
 
-    The plan is broadcast: its entries are matches of a size with a group of equal gaps, and both are
-    bounded by the capacity (some 10,000 entries per kind at 8,192 tokens), whatever the number of items.
+    The items are read once and cut by a checkpoint, as is the state after each superstep; the supersteps run when
+    this is called. The driver sees histograms of sizes and gaps (bounded by the capacities) and counts of parts.
     """
-    kinds = containers.where("capacity > 0 and container_kind is not null").select("container_kind", F.col("capacity").cast("int")).dropDuplicates(["container_kind"]).take(MAX_KINDS + 1)
+    kinds = containers.where("capacity > 0 and container_kind is not null").select("container_kind", F.col("capacity").cast("int")).dropDuplicates(["container_kind"]).orderBy("container_kind").take(MAX_KINDS + 1)
     if len(kinds) > MAX_KINDS:
         raise ValueError(f"more than {MAX_KINDS} container kinds")
-    struct = "array<struct<container_kind:string,capacity:int>>"
-    each = items.where(F.col("bytes").isNotNull()).select("item", "bytes", F.inline(F.from_json(F.lit(json.dumps([k.asDict() for k in kinds])), struct)))
+    items = cut(items.where(F.col("bytes").isNotNull()).select("item", "bytes").withColumn("id", F.monotonically_increasing_id()))
+    struct = "array<struct<kx:int,container_kind:string,capacity:int>>"
+    each = items.select("item", "bytes", "id", F.inline(F.from_json(F.lit(json.dumps([{"kx": n, **k.asDict()} for n, k in enumerate(kinds)])), struct)))
     full = (F.col("bytes") / F.col("capacity")).cast("long")
     rest = (F.col("bytes") - full * F.col("capacity")).cast("int")
     each = each.withColumn("full", F.when(F.col("bytes") > F.col("capacity"), full).otherwise(F.lit(0)).cast("long"))
     each = each.withColumn("size", F.when(F.col("full") > 0, rest).otherwise(F.col("bytes").cast("int")))
     each = each.withColumn("parts", F.col("full") + F.when((F.col("full") == 0) | (F.col("size") > 0), 1).otherwise(0))
-    each = each.withColumn("salt", F.pmod(F.xxhash64("item"), F.lit(SALTS)).cast("int"))
-
-    packed = each.where((F.col("full") == 0) | (F.col("size") > 0))
-    counts = packed.groupBy("container_kind", "capacity", "size", "salt").agg(F.count("*").alias("n"))
-    start = counts.withColumn("start", F.coalesce(F.sum("n").over(Window.partitionBy("container_kind", "size").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("container_kind", "size", "salt", "start")
-    plan = counts.groupBy("container_kind", "capacity", "size").agg(F.sum("n").alias("n")).groupBy("container_kind").applyInPandas(_plan, PLAN)
 
-    ranked = packed.withColumn("local", F.row_number().over(Window.partitionBy("container_kind", "size", "salt").orderBy("item")) - 1)
-    ranked = ranked.join(start, ["container_kind", "size", "salt"]).withColumn("rank", F.col("start") + F.col("local"))
-    p = plan.select(F.col("container_kind").alias("_k"), F.col("size").alias("_s"), "from_rank", "to_rank", "first_container", "slot")
-    placed = ranked.join(F.broadcast(p), (F.col("container_kind") == F.col("_k")) & (F.col("size") == F.col("_s")) & (F.col("rank") >= F.col("from_rank")) & (F.col("rank") < F.col("to_rank")))
-    placed = placed.select("item", "container_kind", "bytes", "parts", (F.col("parts") - 1).alias("part"), F.col("size").cast("long").alias("part_bytes"), F.when(F.col("slot") < 0, F.lit(0)).otherwise(F.col("first_container") + F.col("rank") - F.col("from_rank")).cast("long").alias("container_id"))
-    whole = each.where(F.col("full") > 0).select("item", "container_kind", "bytes", "parts", F.explode(F.sequence(F.lit(0).cast("long"), F.col("full") - 1)).alias("part"), F.col("capacity").cast("long").alias("part_bytes"))
-    return placed.unionByName(whole.withColumn("container_id", -1 - F.col("part")))
+    placed = place(each.where("size > 0").select("kx", "id", F.col("size").alias("w")), {n: k["capacity"] for n, k in enumerate(kinds)})
+    out = lambda df, part, size, where: df.select("item", "container_kind", "bytes", "parts", part.alias("part"), size.cast("long").alias("part_bytes"), where.cast("long").alias("container_id"))
+    packed = out(each.where("size > 0").join(placed, ["kx", "id"]), F.col("parts") - 1, F.col("size"), F.col("place"))
+    nothing = out(each.where("full = 0 and size = 0"), F.lit(0).cast("long"), F.lit(0), F.lit(0))
+    whole = each.where("full > 0").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("full") - 1)))
+    return packed.unionByName(nothing).unionByName(out(whole, F.col("part"), F.col("capacity"), -1 - F.col("part")))
 
 
 def assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -143,8 +297,8 @@ def assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The items that the packing had to cut, by kind."""
-    return assignment(spark, sf_dir).where((F.col("parts") > 1) & (F.col("part") == 0)).select(F.col("item").alias("doc_id"), "container_kind")
+    """The items that the packing had to cut, by kind, each by the last of its parts: mostly the rest that went through the sweeps."""
+    return assignment(spark, sf_dir).where((F.col("parts") > 1) & (F.col("part") == F.col("parts") - 1)).select(F.col("item").alias("doc_id"), "container_kind")
 
 
 def fill(spark: SparkSession, sf_dir: str) -> DataFrame:
