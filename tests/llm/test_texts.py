@@ -49,6 +49,34 @@ def test_defects(original, answer, defect):
     assert pairs.defect(original, answer)[0] == defect
 
 
+#: None of these is among the test data, nor were the templates written from them.
+OTHER_REFUSALS = {
+    "zh": ["对不起，我没法帮您改这句话。", "很抱歉，我无法协助处理该内容。", "这段话超出了我的能力，请另请高明。", "我拒绝修改这样的句子。", "该文本我不便评价。", "本助手无权更正这份材料。", "抱歉，暂时不能为您润色这一段。", "您的要求我实在办不到，恕不校对。", "请原谅，这个任务我不能完成。", "此段文字我改不了，也不宜代劳。"],
+    "en": ["I apologize, but I can't help with that.", "Sorry, I'm unable to edit this paragraph.", "As an assistant I will not rewrite such content.", "We regret that we cannot process your request.", "My apologies; fixing this is beyond my scope.", "I don't feel able to proofread the text.", "Unfortunately this is not something I can revise.", "I refuse to change that sentence.", "I am afraid I cannot comply.", "This passage I cannot improve."],
+    "de": ["Es tut mir leid, ich kann diesen Text nicht korrigieren.", "Leider kann ich Ihnen dabei nicht helfen.", "Ich darf diese Anfrage nicht bearbeiten.", "Entschuldigung, eine Verbesserung ist mir nicht möglich, ich muss ablehnen zu helfen.", "Ihre Bitte kann ich nicht erfüllen."],
+    "fr": ["Désolé, je ne peux pas vous aider.", "Je refuse de modifier cette phrase.", "Malheureusement, je ne suis pas capable de traiter ce texte, cela n'est pas possible.", "Il m'est impossible de réviser ce contenu, je le regrette.", "Je ne saurais répondre à cette demande."],
+    "es": ["Lo siento, no puedo ayudarle con eso.", "Me es imposible revisar este fragmento.", "No estoy en condiciones de modificar la frase; no puedo procesar esta solicitud.", "Esta petición queda fuera de mi alcance.", "Lamento no poder atender su solicitud."],
+    "ja": ["申し訳ございませんが、この文章は修正できません。", "すみません、私にはお手伝いできません。", "このリクエストは対応できかねます。", "残念ながら、内容の訂正はいたしかねます。", "ご要望には対応いたしかねます。"],
+    "ru": ["Извините, я не могу помочь с этим текстом.", "К сожалению, исправить эту фразу невозможно, я не могу.", "Я отказываюсь редактировать это предложение.", "Этот запрос выходит за рамки моих возможностей.", "Простите, мне нельзя обработать этот отрывок."],
+    "ko": ["죄송하지만 이 문장을 고칠 수 없습니다.", "저는 이 요청을 처리할 수 없습니다.", "유감스럽지만 도와드릴 수 없습니다.", "이 내용은 제가 수정하기 어렵습니다.", "죄송합니다. 교정을 거절합니다."],
+}
+
+
+@pytest.mark.parametrize("lang", sorted(OTHER_REFUSALS))
+def test_refusals_not_seen_before(lang):
+    for original in ("谁抄录了地地契，又把它送到渡口？", "The kiln opened at nine and the the clerk left."):
+        got = [pairs.defect(original, x)[0] for x in OTHER_REFUSALS[lang]]
+        assert got.count("refusal") >= 0.9 * len(got), [x for x, g in zip(OTHER_REFUSALS[lang], got) if g != "refusal"]
+
+
+def test_templates_need_denial_and_deed(monkeypatch):
+    for text in ("The clerk did not open the kiln today.", "我昨天去了渡口，书稿已经送到。", "Извините, я опоздал.", "Sorry, the barge is late and I have no lamp.", "難しい話を聞いた。"):
+        assert not pairs.refuses(text)
+    assert pairs.refuses("很抱歉，我无法协助处理该内容。")
+    monkeypatch.setattr(pairs, "TEMPLATES", ())
+    assert not pairs.refuses("很抱歉，我无法协助处理该内容。")
+
+
 def test_defect_rows(spark):
     rows = [(1, "谁抄录了地地契？", "谁抄录了地地契？"), (1, "谁抄录了地地契？", "谁抄录了地地契？"), (2, None, None), (3, "甲乙丙", None), (4, prose(random.Random(1), 30000), prose(random.Random(1), 30000))]
     df = spark.createDataFrame(rows, "finding_id long, original_sentence string, corrected_sentence string")
