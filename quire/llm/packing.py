@@ -20,13 +20,13 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import cut, table
 
-FINISH = 2000  # items of a kind from which on supersteps are of single items, planned on the driver
+FINISH = 4000  # items of a kind from which on they are placed one by one, planned on the driver
 
 #: Container kinds are settings; their list becomes a literal of the query.
 MAX_KINDS = 1000
@@ -135,35 +135,34 @@ def joined_ranks(left: list[tuple[int, int, int, int]]) -> list[tuple[int, int,
     return pieces
 
 
+def _per_kind(values: dict[int, int]) -> Column:
+    """The value of a row's kind, null for other kinds."""
+    return F.create_map(*(F.lit(x) for pair in values.items() for x in pair))[F.col("kx")]
+
+
 def superstep(state: DataFrame, room: dict[int, int], least: dict[int, int]) -> DataFrame:
     """The state after one superstep: of each kind in ``room``, items of ``least`` or more were offered in bundles of ``room``."""
-    spark = state.sparkSession
-    chosen = spark.createDataFrame([(k, least[k]) for k in room], "kx int, least int")  # one row per kind
-    marked = state.where(F.col("t") != PLACED).join(F.broadcast(chosen), "kx", "left")
+    state = state.withColumn("least", _per_kind(least))
+    gap, none = F.col("t") == GAP, F.lit(None).cast("long").alias("place")
     offered = F.coalesce(F.col("w") >= F.col("least"), F.lit(False))
-    gap = F.col("t") == GAP
-    swept = cut(sweep(marked.where(gap & F.col("least").isNotNull()).select("kx", "w", "t", "id"), bundles(marked.where(~gap & offered).select("kx", "w", "id"), room)))
-    rest = marked.where(F.col("least").isNull() | ~gap & ~offered).select("kx", "t", "id", "w", "place")
-    left = [tuple(r) for r in swept.where(F.col("t") != PLACED).groupBy("kx", "part").agg(F.count_if(F.col("t") == GAP), F.count_if(F.col("t") == ITEM)).collect()]  # one row per part and kind
+    swept = cut(sweep(state.where(gap & F.col("least").isNotNull()).select("kx", "w", "t", "id"), bundles(state.where(~gap & offered).select("kx", "w", "id"), room)))
+    left = [tuple(r) for r in swept.where(F.col("t") != PLACED).groupBy("kx", "part").agg(F.count_if(gap), F.count_if(F.col("t") == ITEM)).collect()]  # one row per part and kind
     pieces = [(n, *p) for n, p in enumerate(joined_ranks(left))]
-    p = F.broadcast(spark.createDataFrame(pieces, "piece int, kx int, ipart int, first int, many int, gpart int, last int"))
-    g = swept.where(gap).join(p.withColumnRenamed("gpart", "part"), ["kx", "part"], "left_outer").where("piece is null or rank <= last and rank > last - many")
-    g = swept.where(gap).join(g.where("piece is not null").select("kx", "part", "rank", "piece", (F.col("last") - F.col("rank")).alias("k")), ["kx", "part", "rank"], "left")
-    b = swept.where(F.col("t") == ITEM).join(p.withColumnRenamed("ipart", "part"), ["kx", "part"], "left_outer").where("piece is null or rank >= first and rank < first + many")
-    b = swept.where(F.col("t") == ITEM).join(b.where("piece is not null").select("kx", "part", "rank", "piece", (F.col("rank") - F.col("first")).alias("k")), ["kx", "part", "rank"], "left")
-    met = g.where("piece is not null").select("piece", "k", "id", F.col("w").alias("gap")).join(b.where("piece is not null").select("piece", "k", "kx", "w", "ids", "sizes"), ["piece", "k"])
+    p = F.broadcast(state.sparkSession.createDataFrame(pieces, "piece int, pk int, ipart int, first int, many int, gpart int, last int").coalesce(1))
+    kind, rank = F.col("kx") == F.col("pk"), F.col("rank")
+    g = swept.where(gap).join(p, kind & (F.col("part") == F.col("gpart")) & (rank <= F.col("last")) & (rank > F.col("last") - F.col("many")), "left")
+    b = swept.where(F.col("t") == ITEM).join(p, kind & (F.col("part") == F.col("ipart")) & (rank >= F.col("first")) & (rank < F.col("first") + F.col("many")), "left")
+    met = g.where("piece is not null").select("piece", (F.col("last") - rank).alias("k"), "id", F.col("w").alias("gap"))
+    met = met.join(b.where("piece is not null").select("piece", (rank - F.col("first")).alias("k"), "kx", "w", "ids", "sizes"), ["piece", "k"])
     met = met.select("kx", "id", (F.col("gap") - F.col("w")).alias("w"), "ids", "sizes").unionByName(swept.where(F.col("t") == PLACED).select("kx", "id", "w", "ids", "sizes"))
-    zipped = F.inline(F.arrays_zip("ids", "sizes"))
-    none = F.lit(None).cast("long").alias("place")
-    parts = [
-        met.where("w > 0").select("kx", F.lit(GAP).alias("t"), "id", "w", none),
-        g.where("piece is null").select("kx", "t", "id", "w", none),
-        met.select("kx", F.col("id").alias("place"), zipped).select("kx", F.lit(PLACED).alias("t"), F.col("ids").alias("id"), F.col("sizes").alias("w"), "place"),
-        b.where("piece is null").select("kx", zipped).select("kx", F.lit(ITEM).alias("t"), F.col("ids").alias("id"), F.col("sizes").alias("w"), none),
-    ]
-    for part in parts:
-        rest = rest.unionByName(part)
-    return cut(rest)
+    # a match gives its gap, if room is left, and its items; what found none stays as it is
+    row = lambda t, i, w, where: F.struct(F.lit(t).alias("t"), i.cast("long").alias("id"), w.cast("int").alias("w"), where.cast("long").alias("place"))
+    items = lambda t, where: F.transform(F.arrays_zip("ids", "sizes"), lambda x: row(t, x["ids"], x["sizes"], where))
+    remains = F.when(F.col("w") > 0, F.array(row(GAP, F.col("id"), F.col("w"), F.lit(None)))).otherwise(F.array())
+    now = met.select("kx", F.inline(F.concat(items(PLACED, F.col("id")), remains)))
+    now = now.unionByName(b.where("piece is null").select("kx", F.inline(items(ITEM, F.lit(None)))))
+    now = now.unionByName(g.where("piece is null").select("kx", "t", "id", "w", none))
+    return cut(now.unionByName(state.where(F.col("least").isNull() | ~gap & ~offered).select("kx", "t", "id", "w", "place")))
 
 
 def finish(items: Histogram, gaps: Histogram, capacity: int) -> list[tuple[int, int, int, int]]:
@@ -235,8 +234,7 @@ def place(units: DataFrame, capacities: dict[int, int]) -> DataFrame:
             active[k] = _room(items, {w: n for w, n in gaps.items() if w >= closed[k]})
         if not active:
             break
-        limits = F.broadcast(spark.createDataFrame(list(closed.items()), "kx int, narrow int"))
-        now = state.where(F.col("t") != PLACED).join(limits, "kx").where((F.col("t") == ITEM) | (F.col("w") >= F.col("narrow"))).drop("narrow")
+        now = state.where((F.col("t") != PLACED) & ((F.col("t") == ITEM) | (F.col("w") >= _per_kind(closed))))
         state = superstep(now if fresh is None else now.unionByName(fresh), {k: v[0] for k, v in active.items()}, {k: v[1] for k, v in active.items()})
         placed.append(state.where(F.col("t") == PLACED))
     done = state.where("false").select("kx", "id", "place")
@@ -246,11 +244,10 @@ def place(units: DataFrame, capacities: dict[int, int]) -> DataFrame:
     if rows:
         plan = F.broadcast(spark.createDataFrame(rows, "kx int, w int, rank int, width int, which int"))
         ranked = lambda df: df.withColumn("rank", F.row_number().over(Window.partitionBy("kx", "w").orderBy("id")) - 1).where(F.col("rank") < FINISH)
-        start = F.broadcast(spark.createDataFrame(list(opened.items()), "kx int, opened long"))
         items = ranked(state.where(F.col("t") == ITEM).select("kx", "w", "id")).join(plan, ["kx", "w", "rank"]).select("kx", "id", "width", "which")
         gaps = ranked(state.where(F.col("t") == GAP).select("kx", "w", "id")).select("kx", F.col("w").alias("width"), F.col("rank").alias("which"), F.col("id").alias("place"))
-        into = items.join(gaps, ["kx", "width", "which"], "left").join(start, "kx")
-        done = done.unionByName(into.select("kx", "id", F.coalesce("place", F.col("opened") + F.col("which")).alias("place")))
+        into = items.join(gaps, ["kx", "width", "which"], "left")
+        done = done.unionByName(into.select("kx", "id", F.coalesce("place", _per_kind(opened) + F.col("which")).alias("place")))
     return done
 
 
