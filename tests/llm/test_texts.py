@@ -379,27 +379,51 @@ def test_exact_share():
     assert np.allclose(repetition.exact_shares(texts), [brute_share(t) for t in texts])
 
 
-def test_labels_find_all_repetitive_texts():
+@pytest.fixture(scope="module")
+def field():
+    rng = random.Random(20)
+    return repetition.fit(["。".join(prose(rng, rng.randint(8, 40)) for _ in range(rng.randint(3, 12))) for _ in range(120)])
+
+
+def labelled_share(texts, field):
+    _, _, size, bad = repetition.label_batch(texts, *field)
+    return bad / size
+
+
+def test_labels_decide_like_the_exact_share(field):
     rng = random.Random(14)
-    w, trans = repetition.trained()
     texts = []
-    for _ in range(300):
-        parts = [prose(rng, rng.randint(15, 60)) for _ in range(rng.randint(1, 8))]
+    for _ in range(400):
+        parts = [prose(rng, rng.randint(15, 60)) for _ in range(rng.randint(2, 8))]
         texts.append("。".join([*parts, *(rng.choice(parts) for _ in range(rng.randint(0, 8)))]))
-    _, _, size, bad = repetition.label_batch(texts, w, trans)
-    assert ((bad / size)[repetition.exact_shares(texts) >= repetition.SHARE] >= repetition.LEAST).all()
+    exact, share = repetition.exact_shares(texts), labelled_share(texts, field)
+    assert (share[exact >= repetition.SHARE] >= repetition.LEAST).all()
+    clear = (exact < 0.2) | (exact > 0.4)
+    assert np.mean((share >= repetition.SHARE)[clear] == (exact >= repetition.SHARE)[clear]) > 0.95
 
 
-def test_every_run_labels_a_unit():
+def test_every_run_labels_a_unit(field):
     rng = random.Random(17)
-    w, trans = repetition.trained()
     texts = []
     for _ in range(300):  # runs of just 30 letters between fresh ones, with no marks at all
         runs = [prose(rng, 30) for _ in range(3)]
         texts.append("".join(runs) + "".join(prose(rng, rng.randint(1, 40)) + rng.choice(runs) for _ in range(rng.randint(2, 8))))
-    _, _, size, bad = repetition.label_batch(texts, w, trans)
-    exact = repetition.exact_shares(texts)
-    assert (exact >= repetition.SHARE).sum() > 50 and ((bad / size)[exact >= repetition.SHARE] >= repetition.LEAST).all()
+    exact, share = repetition.exact_shares(texts), labelled_share(texts, field)
+    assert (exact >= repetition.SHARE).sum() > 50 and (share[exact >= repetition.SHARE] >= repetition.LEAST).all()
+
+
+def test_without_the_field_nothing_is_found(spark, field):
+    s = prose(random.Random(21), 60)
+    df = spark.createDataFrame([(1, s + "。" + s)], "doc_id long, text string")
+    zero = tuple(np.zeros_like(x) for x in field)
+    assert repetition.labelled(df, field, repetition.LEAST).count() == 1 and repetition.labelled(df, zero, repetition.LEAST).count() == 0
+    assert not repetition.fit([])[0].any() and not repetition.fit(["短"])[0].any()
+
+
+def test_forward_backward_sums_to_one():
+    rng = np.random.default_rng(22)
+    post, pair = repetition.forward_backward(rng.normal(size=(3, 6, 2)), rng.normal(size=(2, 2)))
+    assert np.allclose(post.sum(2), 1) and np.isclose(pair.sum(), 15)
 
 
 def test_viterbi_is_the_best_path():
@@ -413,12 +437,12 @@ def test_viterbi_is_the_best_path():
         assert repetition.viterbi(score, trans).astype(int).tolist() == list(best)
 
 
-def test_repetition_rows(spark):
+def test_repetition_rows(spark, field):
     rng = random.Random(16)
     s = prose(rng, 50)
     df = spark.createDataFrame([(1, s + "。" + s), (2, None), (3, ""), (4, prose(rng, 200)), (1, s + "。" + s)], "doc_id long, text string")
-    assert [r["doc_id"] for r in repetition.labelled(df, 0.1).where("repeated_share >= 0.3").collect()] == [1, 1]
-    assert repetition.labelled(df, 0.0).count() == 5
+    assert [r["doc_id"] for r in repetition.labelled(df, field, 0.1).where("repeated_share >= 0.3").collect()] == [1, 1]
+    assert repetition.labelled(df, field, 0.0).count() == 5
 
 
 def test_grams_tell_positions_apart():
