@@ -177,6 +177,9 @@ def test_piece_rows(spark):
         ("डॉ. माली ने पत्र रखी। क्या खोई?", ["डॉ. माली ने पत्र रखी।", "क्या खोई?"]),
         ("ในปี 1649 คนสวนซ่อม ช่างปั้นเก็บ 3 ชิ้น", ["ในปี 1649 คนสวนซ่อม", "ช่างปั้นเก็บ 3 ชิ้น"]),
         ("لماذا؟ نعم.", ["لماذا؟", "نعم."]),
+        ("ខ្ញុំទៅផ្សារ។ គាត់មក។", ["ខ្ញុំទៅផ្សារ។", "គាត់មក។"]),
+        ("သူလာသည်။ ကျွန်ုပ်သွားသည်။", ["သူလာသည်။", "ကျွန်ုပ်သွားသည်။"]),
+        ("ຂ້ອຍໄປຕະຫຼາດ ລາວມາ", ["ຂ້ອຍໄປຕະຫຼາດ", "ລາວມາ"]),
         ("“甲。乙。”", ["“甲。", "乙。”"]),
         ("修改后：“甲吗？”他问。", ["修改后：“甲吗？”他问。"]),
         ("“甲吗？\u200b”\u2063他问。乙\u00ad。", ["“甲吗？\u200b”\u2063他问。", "乙\u00ad。"]),
@@ -208,6 +211,26 @@ def test_bare_stretch_is_split():
     assert len({*got} & {*want}) >= 0.8 * len(want) and len(got) <= 1.3 * len(want)
 
 
+def test_kana_and_digits_do_not_hide_a_bare_stretch():
+    rng = random.Random(23)
+    unit = lambda: rng.choice(["製本屋は", "司書が"]) + prose(rng, rng.randint(6, 12)) + str(rng.randint(2, 99)) + rng.choice(["を運びました", "を数えたのです"])
+    words = sentences.fit([unit() + "。" for _ in range(1500)])
+    made = [unit() for _ in range(10)]
+    text = "".join(made)
+    want = set(np.cumsum([len(x) for x in made]).tolist())
+    got = {b for _, b in sentences.sentence_spans(text, words)}
+    assert len(got & want) >= 0.9 * len(want) and len(got) <= 1.2 * len(want)
+    words.grams = {}
+    assert len(sentences.sentence_spans(text, words)) == 1  # without the n-grams nothing is found
+
+
+def test_counts_move_the_prior():
+    base = sentences.Words()
+    told = sentences.Words(cells={("mark", "clause", "upper"): (0.0, 400.0)}, following={("clause", ""): (200.0, 200.0), ("clause", "said"): (0.0, 50.0)})
+    assert told.cell("mark", "clause", "upper", 4.0) < 0 < base.cell("mark", "clause", "upper", 4.0)
+    assert told.next_word("clause", "said") < -2 and base.next_word("clause", "said") == 0
+
+
 def test_posteriors_without_coupling_are_logistic():
     got = sentences.posteriors([2.0, -1.0, 0.5], [False] * 3)
     assert np.allclose(got, 1 / (1 + np.exp([-2.0, 1.0, -0.5])))
