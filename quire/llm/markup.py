@@ -12,6 +12,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -29,16 +30,14 @@ _TAG = rf"</?(?:{_NAME})(?:\s[^<>]*)?/?>"
 
 #: (language, construct, pattern), in the order in which they are looked for at one place.
 CONSTRUCTS = [
-    ("html", "comment", r"<!--.{0,20000}?-->|<!DOCTYPE[^>]*>|<!\[CDATA\[.{0,20000}?\]\]>"),
-    ("html", "pre", r"<pre\b[^>]*>.{0,50000}?</pre\s*>"),
+    ("html", "comment", r"<!DOCTYPE[^>]*>"),
     ("html", "tag", _TAG),
     ("html", "entity", r"&(?:[A-Za-z][A-Za-z0-9]{1,30}|\#\d{1,7}|\#[xX][0-9A-Fa-f]{1,6});"),
     ("wiki", "nowiki", r"</?(?:nowiki|ref|references|gallery|includeonly|noinclude|onlyinclude|syntaxhighlight|math|poem)\b[^<>]*>"),
     ("latex", "environment", r"\\(?:begin|end)\s*\{[A-Za-z]+\*?\}"),
-    ("latex", "formula", r"\$\$[^$]*(?:\\[A-Za-z]+|[_^={}])[^$]*\$\$|\$(?!\d[\d.,]*[^\d\s\\$^_{}=+*/<>-])[^$\n]*(?:\n[^$\n]+)?(?:\\[A-Za-z]+|[_^]\{?|=)[^$\n]*(?:\n[^$\n]+)?\$|\$[A-Za-z]\$|\\\((?:[^\\]|\\(?![()])){0,1000}?\\\)|\\\[(?:[^\\]|\\(?![\[\]])){0,1000}?\\\]"),
+    ("latex", "formula", r"\$\$[^$]*(?:\\[A-Za-z]+|[_^={}])[^$]*\$\$|\$(?!\d[\d.,]*[^\d\s\\$^_{}=+*/<>-])[^$\n]*(?:\n[^$\n]+)?(?:\\[A-Za-z]+|[_^]\{?|=)[^$\n]*(?:\n[^$\n]+)?\$|\$[A-Za-z]\$"),
     ("latex", "command", r"(?<![A-Za-z]:)(?<!\\)\\(?:(?:chapter|(?:sub){0,2}section|(?:sub)?paragraph|part|caption|label|ref|eqref|cite[pt]?|footnote|emph|text[a-z]{2}|textnormal|textcolor|underline|uline|mbox|hbox|fbox|makebox|url|href|includegraphics|title|author|date|input|include|bibliography|usepackage|documentclass|newcommand|vspace|hspace|item|maketitle|tableofcontents|noindent|newpage|clearpage|centering|hline|par|bigskip|medskip|smallskip|LaTeX|TeX|ldots|dots|quad|qquad|frac|sqrt|sum|int|prod|alpha|beta|gamma|delta|theta|lambda|mu|pi|sigma|omega|leq|geq|neq|times|cdot|infty|left|right|mathbb|mathrm|it|bf|em|tt|rm|sc|sl|large|Large|small|footnotesize|tiny)(?![A-Za-z])\*?)|\{\\(?:it|bf|em|tt|sc|rm|sl)\b"),
     ("wiki", "table", r"(?m:^\s*\{\|.*$|^\s*\|\}\s*$|^[ \t]*\|-(?![-:|])[^|\n]*$)"),
-    ("wiki", "template", r"\{\{[^{}]{1,400}(?:\{\{[^{}]*\}\}[^{}]{0,400}){0,8}\}\}"),
     ("wiki", "link", r"\[\[[^\[\]\n]*(?:\n[^\[\]\n]+)?\]\]"),
     ("wiki", "external", r"\[(?:https?|ftp)://[^\s\]]+(?:\s[^\]\n]*(?:\n[^\]\n]+)?)?\]"),
     ("wiki", "heading", r"(?m:^(={2,6})[ \t]*[^=\s][^\n]*?[ \t]*\1[ \t]*\r?$)"),
@@ -61,6 +60,70 @@ CONSTRUCTS = [
 ]
 
 PATTERNS = [(lang, kind, re.compile(p, re.S | re.I if lang == "html" else re.S)) for lang, kind, p in CONSTRUCTS]
+
+Span = tuple[int, int]
+
+
+def delimited(text: str, opener: re.Pattern, closer: re.Pattern) -> list[Span]:
+    """Stretches from an opener to the next closer, of any length; one scan, for no opener after the last closer is looked at."""
+    out, at = [], 0
+    while (a := opener.search(text, at)) and (b := closer.search(text, a.end())):
+        out.append((a.start(), b.end()))
+        at = b.end()
+    return out
+
+
+def balanced(text: str, mark: re.Pattern, opener: str) -> list[Span]:
+    """Outermost stretches between marks that open and close, nested to any depth."""
+    out: list[Span] = []
+    stack: list[int] = []
+    for m in mark.finditer(text):
+        if m[0] == opener:
+            stack.append(m.start())
+        elif stack:
+            a = stack.pop()
+            while out and out[-1][0] > a:
+                out.pop()
+            out.append((a, m.end()))
+    return out
+
+
+def alternating(text: str, mark: re.Pattern, opener: str) -> list[Span]:
+    """Stretches between an opener and a closer with neither between them."""
+    out, a = [], -1
+    for m in mark.finditer(text):
+        if m[0] == opener:
+            a = m.start()
+        elif a >= 0:
+            out.append((a, m.end()))
+            a = -1
+    return out
+
+
+_LONE_BRACE = re.compile(r"(?<!\{)\{(?!\{)|(?<!\})\}(?!\})")
+_COMMENT, _CDATA, _PRE = ((re.compile(a, re.I), re.compile(b, re.I)) for a, b in ((r"<!--", r"-->"), (r"<!\[CDATA\[", r"\]\]>"), (r"<pre\b[^>]*>", r"</pre\s*>")))
+_BRACES, _ROUND, _SQUARE = re.compile(r"\{\{|\}\}"), re.compile(r"\\[()]"), re.compile(r"\\[\[\]]")
+
+
+def comments(text: str) -> list[Span]:
+    return delimited(text, *_COMMENT) + delimited(text, *_CDATA) if "<!" in text else []
+
+
+def preformatted(text: str) -> list[Span]:
+    return delimited(text, *_PRE) if "</" in text else []
+
+
+def display_formulas(text: str) -> list[Span]:
+    return alternating(text, _ROUND, "\\(") + alternating(text, _SQUARE, "\\[") if "\\" in text else []
+
+
+def templates(text: str) -> list[Span]:
+    return [(a, b) for a, b in balanced(text, _BRACES, "{{") if b - a > 4 and not _LONE_BRACE.search(text, a, b)] if "{{" in text else []
+
+
+#: Constructs of any length and depth, found by linear scans.
+SCANNERS = [("html", "comment", comments), ("html", "pre", preformatted), ("latex", "formula", display_formulas), ("wiki", "template", templates)]
+
 HINT = re.compile(r"[<&\\$|{\[='`~#>*_+]|^[-:;]|\n[ \t]*[-:;]")
 WORDS = re.compile(r"[^\W_]")
 
@@ -80,6 +143,8 @@ def constructs(text: str) -> list[Found]:
     spans: list[Found] = []
     for lang, kind, pattern in PATTERNS:
         spans += [(m.start(), m.end(), lang, kind) for m in pattern.finditer(text)]
+    for lang, kind, scan in SCANNERS:
+        spans += [(a, b, lang, kind) for a, b in scan(text)]
     spans.sort(key=lambda s: (s[0], -s[1]))
     shields = [s for s in spans if s[3] in ("fence", "pre", "comment", "formula")] + [(m.start(), m.end(), "latex", "verbatim") for m in VERBATIM.finditer(text)]
     shields.sort()
@@ -193,19 +258,38 @@ def _rows(rows: list[list[str]]) -> str:
 _STRIP_TAG = re.compile(_TAG, re.I | re.S)
 
 
+def replaced(text: str, spans: list[Span], put: Callable[[str], str]) -> str:
+    out, last = [], 0
+    for a, b in sorted(spans):
+        if a >= last:
+            out += [text[last:a], put(text[a:b])]
+            last = b
+    return "".join(out) + text[last:]
+
+
+def until_done(pattern: str, put: str, text: str) -> str:
+    """Replaces innermost constructs until there are none, as many times as they are nested."""
+    while (now := re.sub(pattern, put, text)) != text:
+        text = now
+    return text
+
+
 def convert(text: str) -> tuple[str, list[tuple[str, int, int]]]:
     """Text without markup: ``(clean, structure)``; structure spans are headings, list items, code, tables and formulas."""
     c = Clean()
     sub = re.sub
     text = text.replace("\x01", "").replace("\x02", "")
-    text = sub(r"<!--.{0,20000}?-->|<!DOCTYPE[^>]*>", "", text, flags=re.S | re.I)
+    text = replaced(text, comments(text), lambda x: x[9:-3] if x.startswith("<![") else "")
+    text = sub(r"<!DOCTYPE[^>]*>", "", text, flags=re.I)
     # code
     text = sub(r"(?m)^[ \t]*(`{3,}|~{3,})[^`~\n]*\n(.*?)^[ \t]*\1[`~]*[ \t]*\r?$", lambda m: c.keep("code", _code(m[2])), text, flags=re.S)
-    text = sub(r"<pre\b[^>]*>(.{0,50000}?)</pre\s*>", lambda m: "\n" + c.keep("code", _code(html.unescape(sub(r"</?code[^>]*>", "", m[1])))) + "\n", text, flags=re.S | re.I)
+    text = replaced(text, preformatted(text), lambda x: "\n" + c.keep("code", _code(html.unescape(sub(r"^<pre\b[^>]*>|</pre\s*>$|</?code[^>]*>", "", x, flags=re.I)))) + "\n")
     text = sub(r"\\begin\s*\{(verbatim|lstlisting|minted)\}(.*?)\\end\s*\{\1\}", lambda m: c.keep("code", _code(m[2])), text, flags=re.S)
     text = sub(r"(?m)^[ \t]*(?:`{3,}|~{3,})[^`~\n]*$", "", text)
     # formulas
-    text = PATTERNS[[k for _, k, _ in PATTERNS].index("formula")][2].sub(lambda m: c.keep("formula", sub(r"^(?:\$\$?|\\\(|\\\[)\s*|\s*(?:\$\$?|\\\)|\\\])$", "", m[0])), text)
+    formula = lambda x: c.keep("formula", sub(r"^(?:\$\$?|\\\(|\\\[)\s*|\s*(?:\$\$?|\\\)|\\\])$", "", x))
+    text = replaced(text, display_formulas(text), formula)
+    text = PATTERNS[[k for _, k, _ in PATTERNS].index("formula")][2].sub(lambda m: formula(m[0]), text)
     text = sub(r"<math\b[^>]*>(.*?)</math>", lambda m: c.keep("formula", m[1].strip()), text, flags=re.S)
     # tables
     text = sub(r"<table\b[^>]*>(.*?)</table\s*>", lambda m: "\n" + c.keep("table", _rows([[_STRIP_TAG.sub("", x) for x in re.findall(r"<t[dh]\b[^>]*>(.*?)(?=<t[dh]\b|</t[dhr]|$)", r, re.S | re.I)] for r in re.split(r"<tr\b[^>]*>", m[1], flags=re.I)])) + "\n", text, flags=re.S | re.I)
@@ -250,12 +334,10 @@ def _inline(c: Clean, x: str) -> str:
     x = sub(r"\[\^[^\[\]\s]+\]:?", "", x)
     x = sub(r"\[\[(?:[^\[\]|]*\|)*([^\[\]|]*)\]\]", r"\1", x)
     x = sub(r"\[(?:https?|ftp)://[^\s\]]+\s*([^\]]*)\]", r"\1", x)
-    for _ in range(2):
-        x = sub(r"\{\{(?:[^{}|]*\|)*?(?:页=[^{}|]*)?([^{}|=]*)(?:\|[^{}|=]*=[^{}|]*)*\}\}", r"\1", x)
+    x = until_done(r"\{\{(?:[^{}|]*\|)*?(?:页=[^{}|]*)?([^{}|=]*)(?:\|[^{}|=]*=[^{}|]*)*\}\}", r"\1", x)
     x = sub(r"\\(?:begin|end)\s*\{[A-Za-z]+\*?\}(?:\[[^\]]*\])?", "", x)
     x = sub(r"\\(?:label|ref|eqref|cite[pt]?|vspace|hspace|includegraphics|input)\*?(?:\[[^\]]*\])?\{[^{}]*\}", "", x)
-    for _ in range(3):
-        x = sub(r"\\(?:footnote|emph|text[a-z]{2}|textnormal|underline|uline|mbox|hbox|fbox|url)\*?\{([^{}]*)\}", r"\1", x)
+    x = until_done(r"\\(?:footnote|emph|text[a-z]{2}|textnormal|underline|uline|mbox|hbox|fbox|url)\*?\{([^{}]*)\}", r"\1", x)
     x = sub(r"\{\\(?:it|bf|em|tt|sc|rm|sl)\b\s*([^{}]*)\}", r"\1", x)
     x = sub(r"(?<![A-Za-z]:)\\(?:item|maketitle|noindent|newpage|clearpage|centering|hline|par|bigskip|medskip|smallskip|quad|qquad)(?![A-Za-z])", "", x)
     x = sub(r"\*\*\*([^*\n]+)\*\*\*|\*\*([^*\n]+)\*\*|(?<!_)__([^\n]+?)__(?!_)", lambda m: m[1] or m[2] or m[3], x)

@@ -110,6 +110,26 @@ def test_conversion():
     assert markup.convert("") == ("", []) and markup.convert("平文。")[0] == "平文。"
 
 
+@pytest.mark.parametrize(
+    ("text", "kind"),
+    [("<!--" + "甲" * 60_000 + "-->", "comment"), ("<pre>" + "甲\n" * 60_000 + "</pre>", "pre"), ("\\(" + "x" * 5000 + "\\)", "formula"), ("\\[" + "x" * 5000 + "\\]", "formula"), ("{{引|" + "甲" * 5000 + "}}", "template"), ("{{引|" * 40 + "甲" + "}}" * 40, "template")],
+)
+def test_constructs_of_any_length(text, kind):
+    found = [x for x in markup.constructs("乙" + text + "丙") if x[3] == kind]
+    assert [(a, b) for a, b, _, _ in found] == [(1, 1 + len(text))]
+    clean, _ = markup.convert("乙" + text + "丙")
+    assert not any(x[3] == kind for x in markup.constructs(clean))
+
+
+def test_unclosed_constructs_stay_linear():
+    import time
+
+    began = time.perf_counter()
+    for mark in ("<!--", "<pre>", "\\(", "\\[", "{{", "}}", "<![CDATA["):
+        markup.constructs(mark * 20_000)
+    assert time.perf_counter() - began < 20
+
+
 def test_region_keeps_the_words():
     weights = markup.learn(["甲乙丙丁戊", "<hr>", "<hr>", "甲乙丙丁"])
     text = "<hr><hr><hr>甲乙丙丁<hr><hr>"
