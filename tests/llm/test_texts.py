@@ -284,6 +284,21 @@ def test_words_in_clean_text(model):
         assert garbled.restore(fine, model)[2:] == (0, 0)
 
 
+def test_letters_that_became_capitals(model):
+    swapped = "Паромщик сравнил " + garbled.garble("печать", ("koi8-r", "cp1251")) + " в архиве."
+    for bad, good in ((swapped, "Паромщик сравнил печать в архиве."), ("Le relevÈ abîmé", "Le relevé abîmé")):
+        assert garbled.restore(bad, model)[1:3] == (good, 1)
+    for fine in ("МОСКВА И АРХИВ", "iPhoneÉ", "Le RELEVÉ"):
+        assert garbled.restore(fine, model)[2:] == (0, 0)
+
+
+def test_every_strict_chain_is_tried(model, monkeypatch):
+    bad = garbled.garble("天地玄黄宇宙洪荒", ("utf-8", "cp1252"))
+    monkeypatch.setattr(garbled, "TRIES", 0)
+    monkeypatch.setattr(garbled, "LONG", 10**9)
+    assert garbled.restore(bad, model)[1] == "天地玄黄宇宙洪荒"
+
+
 def test_garbled_rows(spark, model):
     df = spark.createDataFrame([(1, "地�玄"), (2, None), (3, ""), (4, "天地玄黄"), (1, "地�玄")], "chunk_id long, target string")
     assert [r["chunk_id"] for r in garbled.restored(df, model).collect()] == [1, 1]
