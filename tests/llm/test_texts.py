@@ -288,7 +288,7 @@ def test_letters_that_became_capitals(model):
     swapped = "Паромщик сравнил " + garbled.garble("печать", ("koi8-r", "cp1251")) + " в архиве."
     for bad, good in ((swapped, "Паромщик сравнил печать в архиве."), ("Le relevÈ abîmé", "Le relevé abîmé")):
         assert garbled.restore(bad, model)[1:3] == (good, 1)
-    for fine in ("МОСКВА И АРХИВ", "iPhoneÉ", "Le RELEVÉ"):
+    for fine in ("МОСКВА АРХИВ", "iPhoneÉ", "Le RELEVÉ"):
         assert garbled.restore(fine, model)[2:] == (0, 0)
 
 
