@@ -52,6 +52,7 @@ BLANK = " \t　"
 ATX = re.compile("﻿?(#{1,9})(?!#)")
 FENCE = re.compile(r"[ \t]{0,3}(?:`{3,}|~{3,})")
 SETEXT = re.compile(r"={3,}[ \t]*$")
+#: What may stand before a number, whole or without brackets; which headings are found depends on exactly these.
 OUTSIDE = re.compile("[（(【［「『《〈〔｛<\"'“”‘’`]|[-+*](?=[ \t　])|[ \t　]")
 INSIDE = re.compile("[「『‘“”\"'`]|[-+*](?=[ \t　])|[ \t　]")
 #: A decimal with a unit, or with a year before its point, is an amount or a date and no number of a heading.
