@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions import similarity
+from ..functions import rolling, similarity
 from ..functions import text as T
-from . import lexicon
 
 ACCEPT, LEAD = 60.0, 5.0
-ANCHOR = 8  # characters of the n-gram by which a key's places in a book are looked up
-PICKED = 8  # one n-gram in so many is laid out
+SALTS = 8  # parts of a phrase that many chunks of one book repeat
 
 
 def key_text(c):
@@ -41,29 +41,64 @@ def in_named_chunk(findings: DataFrame, chunks: DataFrame) -> DataFrame:
 def in_book(keys: DataFrame, chunks: DataFrame) -> DataFrame:
     """``finding_id, chunks, chunk_id``: how many chunks of its book contain a key, and the first of them.
 
-    ``keys``: (finding_id, book_id, key), keys not blank. A contains join by one n-gram of each key: only n-grams
-    whose hash is divisible by PICKED are laid out, one in PICKED of the chunks' on average, and a key is joined by its
-    first such on (book, n-gram); the whole key is compared where they meet. Keys without one, short ones for
-    the most part, are searched for as a lexicon. Books of many rows are not paired with themselves.
+    ``keys``: (finding_id, book_id, key); blank keys and null books are in none. A contains join by the longest run of a
+    power of two of characters that each key begins with. The hashes of those runs, each with its book, make a bitmap of
+    fixed size; one scan of the chunks gives the places it lets through, with as many characters as such a key can have,
+    and those meet the keys on the hash, where book and whole key are compared. Nothing else of the chunks is laid out or
+    shuffled. Both sides are salted, so that a phrase that one book repeats is split.
     """
-    picked = lambda x: F.pmod(F.xxhash64(x), F.lit(PICKED)) == 0
-    first = F.filter(T.gram_positions(F.col("key"), ANCHOR), lambda x: picked(x["gram"]))
-    anchored = keys.select("finding_id", "book_id", "key", F.get(first, F.lit(0)).alias("anchor"))
-    k = anchored.where("anchor is not null").select("finding_id", "book_id", "key", "anchor.gram", F.col("anchor.pos").alias("off"))
-    g = chunks.where(F.length("target") >= ANCHOR).select("book_id", "chunk_id", F.inline(T.gram_positions(F.col("target"), ANCHOR))).where(picked(F.col("gram")))
-    long = g.join(k, ["book_id", "gram"]).where("pos >= off").select("finding_id", "chunk_id", (F.col("pos") - F.col("off")).alias("pos"), "key")
-    few = anchored.where("anchor is null").drop("anchor")
-    found = lexicon.word_findings(chunks.select("chunk_id", "target"), few.select(F.col("key").alias("word"), F.col("key").alias("standard")).distinct(), "chunk_id", "target")
-    at = found.join(chunks.select("chunk_id", "book_id"), "chunk_id").select("book_id", "chunk_id", F.col("start_pos").alias("pos"), F.col("word").alias("key"))
-    parts = [long, at.join(few, ["book_id", "key"]).select("finding_id", "chunk_id", "pos", "key")]
-    hits = reduce(DataFrame.unionByName, parts).join(chunks.select("chunk_id", "target"), "chunk_id")
-    same = hits.where(F.substring("target", F.col("pos") + 1, F.length("key")) == F.col("key")).select("finding_id", "chunk_id").distinct()
-    return same.groupBy("finding_id").agg(F.count("*").alias("chunks"), F.min("chunk_id").alias("chunk_id"))
+    distinct = keys.where(F.col("book_id").isNotNull() & (F.length("key") > 0)).select(F.col("book_id").cast("long").alias("book_id"), "key").distinct()
+
+    def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, h = [], []
+            for book, key in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                n.append(1 << len(key).bit_length() - 1)
+                h.append(_of_book(rolling.runs(rolling.codes([key[: n[-1]]])[0], n[-1:])[n[-1]], book)[0])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n, pa.int32()), pa.array(np.array(h, np.uint64).view(np.int64))], ["book_id", "key", "n", "h"])
+
+    k = distinct.mapInArrow(anchors, "book_id long, key string, n int, h long")
+    sizes = sorted(r[0] for r in k.select("n").distinct().collect())  # powers of two
+    shared = keys.sparkSession.sparkContext.broadcast((rolling.bitmap(k, "h"), sizes))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, sizes = shared.value
+        for batch in batches:
+            at, h_, seen = [], [], []
+            for row, (book, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist())):
+                for n, h in rolling.runs(rolling.codes([text])[0], sizes).items():
+                    h = _of_book(h, book)
+                    for p in rolling.maybe(bits, h).tolist():
+                        at.append(row)
+                        h_.append(h[p])
+                        seen.append(text[p : p + 2 * n])  # a key with this run has fewer than twice its characters
+            take = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(np.array(h_, np.uint64).view(np.int64)), pa.array(seen, pa.string())], ["book_id", "chunk_id", "h", "seen"])
+
+    given = chunks.where("book_id is not null and target is not null").select(F.col("book_id").cast("long").alias("book_id"), "chunk_id", "target")
+    places = given.mapInArrow(scan, f"book_id long, chunk_id {chunks.schema['chunk_id'].dataType.simpleString()}, h long, seen string")
+    places = places.withColumn("salt", F.pmod(F.xxhash64("chunk_id"), F.lit(SALTS)).cast("int"))
+    salted = k.select("book_id", "key", "h", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    met = places.join(salted, ["book_id", "h", "salt"]).where(F.startswith("seen", "key")).select("book_id", "key", "chunk_id").distinct()
+    each = met.groupBy("book_id", "key").agg(F.count("*").alias("chunks"), F.min("chunk_id").alias("chunk_id"))
+    return keys.withColumn("book_id", F.col("book_id").cast("long")).join(each, ["book_id", "key"]).select("finding_id", "chunks", "chunk_id")
+
+
+def _of_book(h: np.ndarray, book: int) -> np.ndarray:
+    """The same phrase of another book is another one."""
+    with np.errstate(over="ignore"):
+        return rolling.mixed(h ^ rolling.mixed(np.array([book], np.int64).view(np.uint64)))
+
+
+def _apart(rows: DataFrame) -> DataFrame:
+    """Joined rows in as many parts as there are cores or shuffle partitions: heavy work per row follows, so parts that are small in bytes must not be put together."""
+    spark = rows.sparkSession
+    return rows.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
 
 
 def by_similarity(residual: DataFrame, chunks: DataFrame) -> DataFrame:
     """Best window of the named chunk for each key not found in it: ``finding_id, found, position, ratio, accepted``."""
-    j = residual.join(chunks.select("chunk_id", "target"), "chunk_id").where("target is not null")
+    j = _apart(residual.join(chunks.select("chunk_id", "target"), "chunk_id").where("target is not null"))
     m = j.select("finding_id", similarity.best_window("target", "key").alias("m"))
     return m.select("finding_id", "m.found", "m.position", F.round("m.ratio", 6).alias("ratio"), (F.col("m.ratio") >= ACCEPT).alias("accepted")).where("found is not null")
 

@@ -35,11 +35,25 @@ def exact_locate(spark, sf):
 
 
 @catalogue.query(f"""
-    WITH r AS (SELECT * FROM ({_NAMED}) WHERE outcome IN ('not_in_chunk', 'p_out_of_range'))
-    SELECT r.finding_id, count(*) AS chunks, min(c.chunk_id) AS chunk_id FROM r JOIN your_markdown c ON r.book_id = c.book_id AND contains(c.target, r.key) GROUP BY r.finding_id""")
+    WITH k AS (SELECT finding_id, book_id, key FROM ({_NAMED}) WHERE outcome <> 'empty_key_text' AND key <> '')
+    SELECT k.finding_id, count(*) AS chunks, min(c.chunk_id) AS chunk_id FROM k JOIN your_markdown c ON k.book_id = c.book_id AND contains(c.target, k.key) GROUP BY k.finding_id""")
 def book_locate(spark, sf):
-    """Chunks of the book that hold a key which the named chunk lacks; more than one is a duplicate anchor."""
-    return locate.in_book(_residual(spark, sf).select("finding_id", "book_id", "key"), spread(table(spark, sf, "your_markdown", "book_id", "chunk_id", "target")))
+    """Chunks of the book that hold a key, whatever chunk the finding names; more than one is a duplicate anchor."""
+    keys = _named(spark, sf).where("outcome <> 'empty_key_text'").select("finding_id", "book_id", "key")
+    return locate.in_book(keys, spread(table(spark, sf, "your_markdown", "book_id", "chunk_id", "target")))
+
+
+@catalogue.query(f"""
+    WITH k AS (SELECT finding_id, book_id, key FROM ({_NAMED}) WHERE key <> ''),
+    n AS (SELECT k.finding_id, count(*) AS chunks FROM k JOIN your_markdown c ON k.book_id = c.book_id AND contains(c.target, k.key) GROUP BY k.finding_id)
+    SELECT CASE WHEN outcome = 'empty_key_text' THEN 'empty_key_text' WHEN chunks IS NULL THEN 'not_found' WHEN chunks > 1 THEN 'duplicate_anchor' ELSE 'located' END AS outcome, count(*) AS findings
+    FROM ({_NAMED}) f LEFT JOIN n USING (finding_id) GROUP BY 1""")
+def anchor_outcomes(spark, sf):
+    """What becomes of findings that name no chunk: their key must stand in one chunk of the book alone."""
+    n = _named(spark, sf)
+    found = locate.in_book(n.where("outcome <> 'empty_key_text'").select("finding_id", "book_id", "key"), spread(table(spark, sf, "your_markdown", "book_id", "chunk_id", "target")))
+    outcome = F.when(F.col("outcome") == "empty_key_text", "empty_key_text").when(F.col("chunks").isNull(), "not_found").when(F.col("chunks") > 1, "duplicate_anchor").otherwise("located")
+    return n.join(found.drop("chunk_id"), "finding_id", "left").groupBy(outcome.alias("outcome")).agg(F.count("*").alias("findings"))
 
 
 @catalogue.query()

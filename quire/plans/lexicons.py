@@ -24,10 +24,11 @@ _NOTES = f"(SELECT * FROM (VALUES {_values(NOTES)}) v(ch, note))"
 _WORDS = f"(SELECT * FROM (VALUES {_values(WORDS)}) v(word, standard))"
 _STANDARD = "(SELECT DISTINCT unnest(string_split(corrected_sentence, '')) AS ch FROM max_pipeline)"
 _CHARACTERS = "(SELECT doc_id, pos, ch FROM (SELECT doc_id, generate_subscripts(string_split(text, ''), 1) - 1 AS pos, unnest(string_split(text, '')) AS ch FROM documents) WHERE regexp_matches(ch, '^[\\x{4e00}-\\x{9fff}]$'))"
-_FOUND = f"""WITH c AS {_CHARACTERS},
+_FOUND = f"""WITH c AS MATERIALIZED {_CHARACTERS},
     m AS (SELECT ch, kind, string_agg(DISTINCT standard_ch, '' ORDER BY standard_ch) AS s FROM {_FORMS} GROUP BY ch, kind HAVING string_agg(DISTINCT standard_ch, '' ORDER BY standard_ch) <> ch),
     v AS (SELECT m.ch, kind, s || CASE WHEN note IS NULL THEN '' ELSE '(' || note || ')' END AS suggestion FROM m LEFT JOIN {_NOTES} n USING (ch)),
-    o AS (SELECT DISTINCT ch, 'not_in_standard' AS kind, '' AS suggestion FROM c WHERE ch NOT IN (SELECT ch FROM v) AND ch NOT IN (SELECT ch FROM {_STANDARD} WHERE ch IS NOT NULL)),
+    d AS MATERIALIZED (SELECT DISTINCT ch FROM c),
+    o AS (SELECT d.ch, 'not_in_standard' AS kind, '' AS suggestion FROM d LEFT JOIN (SELECT DISTINCT ch FROM v) x USING (ch) LEFT JOIN (SELECT DISTINCT ch FROM {_STANDARD}) y USING (ch) WHERE x.ch IS NULL AND y.ch IS NULL),
     f AS (SELECT doc_id, pos::INT AS pos, ch, kind, suggestion FROM c JOIN (SELECT * FROM v UNION ALL SELECT * FROM o) USING (ch))"""
 
 
