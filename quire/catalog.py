@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from .plans import alignment, findings, lexicons, metrics, segments, sequences, structures
+from .plans import alignment, checks, findings, lexicons, metrics, segments, sequences, structures
 from .plans.registry import Query
 
-MODULES = (segments, lexicons, findings, alignment, structures, metrics, sequences)
+MODULES = (segments, lexicons, findings, alignment, structures, metrics, sequences, checks)
 
 
 def queries() -> dict[str, Query]:

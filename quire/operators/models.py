@@ -46,13 +46,13 @@ def retention(pairs: DataFrame, key: str, a: str, b: str) -> DataFrame:
     return pairs.where(F.length(a) >= 2).select(key, F.round(similarity.bigram_retention(F.col(a), F.col(b)), 3).alias("retention"))
 
 
-def tree_classes(docs: DataFrame, depth: int = 5, least: int = 5) -> DataFrame:
-    """``doc_id, label, prediction`` of a decision tree on the text features; the label is whether the text is Chinese."""
+def tree_classes(texts: DataFrame, depth: int = 5, least: int = 5) -> DataFrame:
+    """``id, label, prediction`` of a decision tree on the text features, fitted on the labels (0 or 1) of the texts (id, text, label)."""
     from pyspark.ml.classification import DecisionTreeClassifier
     from pyspark.ml.feature import VectorAssembler
 
     f = T.features(F.col("text"))
-    rows = docs.where("text is not null").select("doc_id", *(c.cast("double").alias(k) for k, c in f.items()), F.lower(F.coalesce("lang", F.lit(""))).startswith("zh").cast("double").alias("label"))
+    rows = texts.where("text is not null").select("id", *(c.cast("double").alias(k) for k, c in f.items()), F.col("label").cast("double").alias("label"))
     data = VectorAssembler(inputCols=list(f), outputCol="features").transform(rows)
     tree = DecisionTreeClassifier(maxDepth=depth, minInstancesPerNode=least, seed=1).fit(data)
-    return tree.transform(data).select("doc_id", "label", "prediction")
+    return tree.transform(data).select("id", "label", "prediction")

@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from ..functions import text as T
 
+#: Marks at which a piece may be split hard.
 HARD_STOPS = frozenset("。！？；!?;…")
 
 
@@ -65,39 +66,37 @@ def merge_short(rows: DataFrame, key: str, order: str, text: str, least: int = 1
 
 
 def cut(text: str, size: int = 600) -> list[str]:
-    """Pieces of about ``size`` characters, cut at blank lines; line ends don't count.
+    """Pieces of about ``size`` characters, cut at blank lines; the line ends between lines don't count.
 
-    A piece closes at a blank line once it is full. At one and a half times the size it is split hard: at the
-    nearest stop before that length, else at ``size``.
+    A piece closes with a blank line once it is full. At one and a half times the size it is split hard: at the
+    nearest stop before that length, else at ``size``; what remains then counts with its line ends. Every kind of line
+    end becomes a line feed. Joined, and line ends aside, the pieces are the text.
     """
     size = max(50, size)
-    limit = size * 3 // 2
     out: list[str] = []
     held: list[str] = []
     length = 0
-    for line in text.split("\n"):
-        if not line.strip() and length >= size:
-            out.append("\n".join(held))
-            held, length = [], 0
-            continue
+    for line in text.splitlines():
         held.append(line)
         length += len(line)
-        if line.strip() and 2 * length >= 3 * size:
-            head, rest = hard_split("\n".join(held), size)
-            out.append(head)
-            held, length = ([rest] if rest else []), len(rest.replace("\n", ""))
+        if line.strip():
+            if 2 * length >= 3 * size:
+                head, rest = hard_split("\n".join(held), size)
+                out.append(head)
+                held, length = ([rest] if rest else []), len(rest)
+        elif length >= size:
+            out.append("\n".join(held))
+            held, length = [], 0
     rest = "\n".join(held)
-    while len(rest) > limit:
+    while 2 * len(rest) > 3 * size:
         head, rest = hard_split(rest, size)
         out.append(head)
-    if rest.strip():
-        out.append(rest)
-    return [x for x in out if x.strip()]
+    return [*out, rest] if rest or held else out
 
 
 def hard_split(text: str, size: int) -> tuple[str, str]:
     """The last stop between half and one and a half times the size, else the size itself."""
-    for p in range(min(len(text), size * 3 // 2), size // 2, -1):
+    for p in range(min(len(text), size * 3 // 2), size // 2 - 1, -1):
         if text[p - 1] in HARD_STOPS:
             return text[:p], text[p:]
     return text[:size], text[size:]
@@ -189,7 +188,7 @@ def sentences(docs: DataFrame, key: str = "doc_id", text: str = "text", markdown
 
 def cuts(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 600, threshold: int = 0) -> DataFrame:
     """``key, chunk_idx, target`` of the texts cut by ``size``; texts of at most ``threshold`` characters stay whole."""
-    whole = lambda x: [x] if x.strip() and len(x) <= threshold else cut(x, size)
+    whole = lambda x: [x] if len(x) <= threshold else cut(x, size)
     return _explode(docs, key, text, whole, "chunk_idx start_pos target start_line end_line").drop("start_pos", "start_line", "end_line")
 
 
@@ -212,8 +211,8 @@ def chunks_with_context(docs: DataFrame, key: str = "doc_id", text: str = "text"
         for batch in batches:
             at, sections_, numbers, targets, around = [], [], [], [], []
             for k, (section, body) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
-                place = 0
-                for n, piece in enumerate(cut(body, size)):
+                place, body = 0, "\n".join(body.splitlines())
+                for n, piece in enumerate(x for x in cut(body, size) if x.strip()):
                     place = max(0, body.find(piece, place))
                     at.append(k)
                     sections_.append(section)
@@ -227,6 +226,31 @@ def chunks_with_context(docs: DataFrame, key: str = "doc_id", text: str = "text"
     return s.mapInArrow(run, f"{key} {kind}, section_idx int, chunk_idx int, target string, context string")
 
 
+def merged_cuts(docs: DataFrame, key: str = "doc_id", text: str = "text", levels: tuple[int, ...] = (2,), threshold: int = 1000, size: int = 800, least: int = 120) -> DataFrame:
+    """``key, piece_idx, target``: sections, cut where they are longer than ``threshold``, short pieces glued onto the next long one.
+
+    Blank pieces are left out. Null texts have none. The pieces of a document are numbered in order.
+    """
+    kind = docs.schema[key].dataType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            at, sections_, numbers, targets = [], [], [], []
+            for k, (section, body) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
+                for n, piece in enumerate([body] if len(body) <= threshold else cut(body, size)):
+                    at.append(k)
+                    sections_.append(section)
+                    numbers.append(n)
+                    targets.append(piece)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *(pa.array(x, pa.int32()) for x in (sections_, numbers)), pa.array(targets, pa.string())], [key, "section_idx", "n", "piece"])
+
+    s = sections(docs, key, text, levels).select(key, "section_idx", "body")
+    pieces = s.mapInArrow(run, f"{key} {kind}, section_idx int, n int, piece string").withColumn("at", F.struct("section_idx", "n"))
+    glued = merge_short(pieces, key, "at", "piece", least).where(F.trim("merged") != "")
+    order = Window.partitionBy(key).orderBy("group_idx")  # the pieces of one document
+    return glued.select(key, (F.row_number().over(order) - 1).alias("piece_idx"), F.col("merged").alias("target"))
+
+
 def table_of_contents(docs: DataFrame, key: str = "doc_id", text: str = "text", indent: int = 4, base: int = 1) -> DataFrame:
     """Bullet lines as ``key, line_no, name, level``: the level grows with the indent."""
     l = to_lines(docs, key, text)

@@ -41,8 +41,9 @@ def done(checkpoint: DataFrame) -> DataFrame:
 
 
 def pending(chunks: DataFrame, checkpoint: DataFrame) -> DataFrame:
-    """Chunks (chunk_id, chunk_sha256, ...) without a finished row of the same hash."""
-    return chunks.join(done(checkpoint).select("chunk_id", "chunk_sha256").distinct(), ["chunk_id", "chunk_sha256"], "left_anti")
+    """Chunks (chunk_id, chunk_sha256, ...) without a finished row of the same hash; with a run_key, of the same run."""
+    keys = [*(["run_key"] if "run_key" in chunks.columns else []), "chunk_id", "chunk_sha256"]
+    return chunks.join(done(checkpoint).select(*keys).distinct(), keys, "left_anti")
 
 
 class Limiter:

@@ -122,12 +122,13 @@ _READABLE = "(json_extract(CASE WHEN json_valid(findings_json) THEN findings_jso
 
 
 @catalogue.query(f"""
-    SELECT chunk_id, book_id, kind FROM your_markdown c WHERE NOT EXISTS (
-        SELECT 1 FROM checkpoint p WHERE p.chunk_id = c.chunk_id AND p.chunk_sha256 = c.chunk_sha256 AND p.status = 'complete' AND {_READABLE})""")
+    SELECT run_key, chunk_id, book_id, kind FROM (SELECT *, 'run-' || book_id || '-0' AS run_key FROM your_markdown) c WHERE NOT EXISTS (
+        SELECT 1 FROM checkpoint p WHERE p.run_key = c.run_key AND p.chunk_id = c.chunk_id AND p.chunk_sha256 = c.chunk_sha256 AND p.status = 'complete' AND {_READABLE})""")
 def checkpoint_pending(spark, sf):
+    """What the run of each book has still to do."""
     chunks = table(spark, sf, "your_markdown", "chunk_id", "chunk_sha256", "book_id", "kind")
     have = table(spark, sf, "checkpoint", "run_key", "chunk_id", "chunk_sha256", "status", "findings_json")
-    return cp.pending(chunks, have).select("chunk_id", "book_id", "kind")
+    return cp.pending(chunks.withColumn("run_key", F.concat(F.lit("run-"), "book_id", F.lit("-0"))), have).select("run_key", "chunk_id", "book_id", "kind")
 
 
 @catalogue.query("""

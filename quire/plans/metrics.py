@@ -102,5 +102,7 @@ def rate_gaps(spark, sf):
 
 @catalogue.query()
 def quality_tree(spark, sf):
-    """Documents with the class a shallow decision tree gives them, trained on whether a title is known."""
-    return models.tree_classes(table(spark, sf, "documents", "doc_id", "text", "lang"))
+    """Faulty sentences and their answers with the class a shallow decision tree gives them: 1 is faulty."""
+    f = table(spark, sf, "max_pipeline", "finding_id", "original_sentence", "corrected_sentence")
+    side = lambda column, label: f.select(F.col("finding_id").alias("id"), F.col(column).alias("text"), F.lit(label).alias("label"))
+    return models.tree_classes(side("original_sentence", 1).unionByName(side("corrected_sentence", 0)))

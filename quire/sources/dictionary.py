@@ -34,12 +34,17 @@ def entries(dictionary: DataFrame, limit: int | None = None) -> DataFrame:
 
 def info(dictionary: DataFrame) -> DataFrame:
     """Entries and distinct headwords of each dictionary."""
-    return dictionary.groupBy("dict").agg(F.count("*").alias("entries"), F.approx_count_distinct("entry").alias("headwords"))
+    return dictionary.groupBy("dict").agg(F.count("*").alias("entries"), F.countDistinct("entry").alias("headwords"))
 
 
-def look_up(terms: DataFrame, dictionary: DataFrame) -> DataFrame:
-    """``term, dict, text``: the first definition of each term (term) in each dictionary, without tags; a term that none has is left out."""
-    first = dictionary.join(terms.select(F.col("term").alias("entry")).distinct(), "entry", "left_semi").groupBy("dict", "entry").agg(F.min("paraphrase").alias("paraphrase"))
+def look_up(terms: DataFrame, dictionary: DataFrame, order: str = "row_id") -> DataFrame:
+    """``term, dict, text``: the first definition of each term (term) in each dictionary, without tags; a term that none has is left out.
+
+    The first is that of the least ``order``, a column of the dictionary, or without one of the least content.
+    """
+    asked = dictionary.join(terms.select(F.col("term").alias("entry")).distinct(), "entry", "left_semi")
+    rank = F.struct(*([order] if order in dictionary.columns else []), "paraphrase")
+    first = asked.groupBy("dict", "entry").agg(F.min_by("paraphrase", rank).alias("paraphrase"))
     return first.select(F.col("entry").alias("term"), "dict", plain(unpacked("paraphrase")).alias("text"))
 
 
