@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import garbled, leakage, lookalike, markup, packing, pairs, pieces, repetition, sentences
+from . import checks, garbled, leakage, lookalike, markup, packing, pairs, pieces, repetition, sentences
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -32,6 +32,14 @@ def queries() -> dict[str, Query]:
         "p8_pairs": leakage.pairs,
         "p9_found": repetition.found,
         "p9_shares": repetition.shares,
+        "p1_plain_defects": checks.plain_defects,
+        "p3_piece_cover": checks.piece_cover,
+        "p4_sentence_cover": checks.sentence_cover,
+        "p5_damaged": checks.damaged,
+        "p6_plain_forms": checks.plain_forms,
+        "p7_balance": checks.packing_balance,
+        "p8_leaked": checks.leaked_pairs,
+        "p9_letters": checks.repeated_letters,
     }
 
 
@@ -47,5 +55,14 @@ def oracle_sql() -> dict[str, str]:
             r AS (SELECT doc_id, i FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, gram ORDER BY i) AS n FROM g) WHERE n > 1),
             c AS (SELECT doc_id, count(DISTINCT i + k) AS covered FROM r, range(0, 30) o(k) GROUP BY doc_id)
             SELECT doc_id FROM c JOIN t USING (doc_id) WHERE covered >= 0.3 * length(s)""",
+        "p1_plain_defects": checks.PLAIN_DEFECTS,
+        "p3_piece_cover": checks.PIECE_COVER,
+        "p4_sentence_cover": checks.SENTENCE_COVER,
+        "p5_damaged": checks.DAMAGED,
+        "p6_plain_forms": checks.PLAIN_FORMS,
+        "p7_balance": checks.PACKING_BALANCE,
+        "p8_leaked": checks.LEAKED_PAIRS,
+        "p8_found": checks.LEAKED_PAIRS,
+        "p9_letters": checks.REPEATED_LETTERS,
         "p7_found": "SELECT doc_id, container_kind FROM documents, containers WHERE octet_length(encode(text)) > capacity",
     }
