@@ -89,3 +89,9 @@ def differences(a: DataFrame, b: DataFrame) -> DataFrame:
 def extend(base: DataFrame, extra: DataFrame, key: list[str]) -> DataFrame:
     """The base rows, and the extra rows whose key the base lacks, each key once."""
     return base.unionByName(extra.dropDuplicates(key).join(base.select(*key), key, "left_anti").select(*base.columns))
+
+
+def tables_of(rows: DataFrame, names: list[str]) -> DataFrame:
+    """The named map columns of a compact dictionary, and nothing else; a missing or null one is an empty map."""
+    empty = F.create_map().cast("map<string,string>")
+    return rows.select(*((F.coalesce(F.col(n), empty) if n in rows.columns else empty).alias(n) for n in names))

@@ -154,3 +154,17 @@ def chapter_of(points: DataFrame, chapters: DataFrame, key: str = "doc_id") -> D
     c = chapters.select(key, F.col("start_pos").alias("at"), F.lit(0).alias("kind"), F.lit(None).cast(p.schema["row"].dataType).alias("row"), F.col("title"))
     w = Window.partitionBy(key).orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
     return p.unionByName(c).withColumn("chapter", F.last("title", ignorenulls=True).over(w)).where("kind = 1").select("row.*", "chapter")
+
+
+def in_paragraph(edits: DataFrame, units: DataFrame, key: str = "path") -> DataFrame:
+    """``edits`` with ``found``: whether the anchor stands in the paragraph of its number and nowhere else is looked.
+
+    ``edits``: (key, pn, anchor); ``units``: (key, part, pos, text) where part is ``body`` or else ``header``, ``footer`` or ``textbox``, whose paragraphs
+    are numbered on after those of the body, in this order. Anchors are compared as they are, then with dashes, quotes and blanks made alike.
+    """
+    order = F.create_map(*(F.lit(x) for p in (("body", 0), ("header", 1), ("footer", 2), ("textbox", 3)) for x in p))[F.col("part")]
+    filled = units.where(F.length(T.squeeze(F.coalesce("text", F.lit("")))) > 0)
+    numbered = filled.withColumn("pn", F.row_number().over(Window.partitionBy(key).orderBy(order, "pos")) - 1)  # the paragraphs of one document
+    alike = lambda c: T.strip(F.regexp_replace(F.translate(T.fold_quotes(c), "–—―‒", "----"), f"{T.BLANKS}+", " "))
+    held = F.contains("text", "anchor") | F.contains(alike(F.col("text")), alike(F.col("anchor")))
+    return edits.join(numbered.select(key, "pn", "text"), [key, "pn"], "left").withColumn("found", F.coalesce(held & (F.col("anchor") != ""), F.lit(False))).drop("text")

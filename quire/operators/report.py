@@ -5,8 +5,13 @@ from __future__ import annotations
 import html
 import re
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.functions import arrow_udf
+
+from ..functions.similarity import opcodes
 
 
 def index_filter(spec: str, c: Column) -> Column:
@@ -56,3 +61,60 @@ def tree_json(nodes: list) -> list[dict]:
     for n in sorted(made):
         (made[made[n]["parent_id"]]["children"] if made[n]["parent_id"] >= 0 else roots).append(made[n])
     return roots
+
+
+@arrow_udf(T.StringType())
+def diff_html(a: pa.Array, b: pa.Array) -> pa.Array:
+    """Two texts as one line of HTML, what was taken out and put in marked; runs of blank lines count as one. Null where either is null."""
+
+    def one(x: str, y: str) -> str:
+        x, y = (re.sub(r"\n\s*\n+", "\n", t) for t in (x, y))
+        out = []
+        for tag, a1, a2, b1, b2 in opcodes(x, y):
+            if tag == "equal":
+                out.append(html.escape(x[a1:a2]))
+            else:
+                out += [f"<del>{html.escape(x[a1:a2])}</del>"] * (a2 > a1) + [f"<ins>{html.escape(y[b1:b2])}</ins>"] * (b2 > b1)
+        return "".join(out).replace("\n", "<br>")
+
+    return pa.array([None if x is None or y is None else one(x, y) for x, y in zip(a.to_pylist(), b.to_pylist())], pa.string())
+
+
+def _escaped(c: Column) -> Column:
+    for ch, name in (("&", "amp"), ("<", "lt"), (">", "gt"), ('"', "quot")):
+        c = F.replace(c, F.lit(ch), F.lit(f"&{name};"))
+    return c
+
+
+def _clipped(c: Column, size: int) -> Column:
+    c = F.coalesce(c, F.lit(""))
+    return _escaped(F.when(F.length(c) > size, F.concat(F.left(c, F.lit(size)), F.lit("…"))).otherwise(c))
+
+
+def finding_rows(findings: DataFrame) -> DataFrame:
+    """``row``: each finding (severity, type, original, suggested, reason) as a row of a table, texts cut to 80 and 120 characters."""
+    cell = lambda c, n: F.concat(F.lit("<td>"), _clipped(F.col(c), n), F.lit("</td>"))
+    head = F.concat(F.lit('<tr class="'), _escaped(F.coalesce("severity", F.lit("info"))), F.lit('">'))
+    return findings.select("*", F.concat(head, cell("type", 80), cell("original", 80), cell("suggested", 80), cell("reason", 120), F.lit("</tr>")).alias("row"))
+
+
+def issue_items(findings: DataFrame) -> DataFrame:
+    """``item``: each finding (original, suggested, reason, ratio) as a list item, texts cut to 300 and 600 characters; a place found by similarity says so."""
+    note = F.when(F.col("ratio") < 80, F.concat(F.lit("<em>匹配率 "), F.format_number("ratio", 1), F.lit("</em>"))).when(F.col("ratio") < 100, F.lit("<em>近似</em>")).otherwise("")
+    return findings.select("*", F.concat(F.lit("<li><del>"), _clipped(F.col("original"), 300), F.lit("</del> <ins>"), _clipped(F.col("suggested"), 300), F.lit("</ins> "), F.coalesce(note, F.lit("")), F.lit("<p>"), _clipped(F.col("reason"), 600), F.lit("</p></li>")).alias("item"))
+
+
+def annotation(tag: Column, original: Column, suggested: Column, category: Column, reasons: Column, evidence: Column) -> Column:
+    """The lines of a note on a page: tag and text, what it should be, category, distinct reasons, and evidence (title, url, accessed_at)."""
+    filled = lambda c: F.when(F.trim(c) != "", F.trim(c))
+    said = F.array_distinct(F.filter(F.transform(reasons, lambda x: F.trim(x)), lambda x: (x != "") & ~x.eqNullSafe(suggested)))
+    known = F.filter(evidence, lambda e: filled(F.coalesce(filled(e["title"]), e["url"])).isNotNull())
+    source = F.transform(known, lambda e: F.concat_ws("\n", F.concat(F.lit("依据："), F.coalesce(filled(e["title"]), F.trim(e["url"])), F.coalesce(F.concat(F.lit("（访问于 "), filled(e["accessed_at"]), F.lit("）")), F.lit(""))), F.when(filled(e["title"]).isNotNull() & ~filled(e["title"]).eqNullSafe(filled(e["url"])), filled(e["url"]))))
+    return F.concat_ws(
+        "\n",
+        F.concat(tag, F.lit(" "), F.coalesce(original, F.lit(""))),
+        F.when((suggested != "") & ~suggested.eqNullSafe(original), F.concat(F.lit("→ "), suggested)),
+        F.concat(F.lit("分类："), filled(category)),
+        F.transform(F.coalesce(said, F.array().cast("array<string>")), lambda x: F.concat(F.lit("理由："), x)),
+        F.coalesce(source, F.array().cast("array<string>")),
+    )

@@ -246,7 +246,7 @@ def merged_cuts(docs: DataFrame, key: str = "doc_id", text: str = "text", levels
 
     s = sections(docs, key, text, levels).select(key, "section_idx", "body")
     pieces = s.mapInArrow(run, f"{key} {kind}, section_idx int, n int, piece string").withColumn("at", F.struct("section_idx", "n"))
-    glued = merge_short(pieces, key, "at", "piece", least).where(F.trim("merged") != "")
+    glued = merge_short(pieces, key, "at", "piece", least).where(F.length(T.squeeze(F.col("merged"))) > 0)
     order = Window.partitionBy(key).orderBy("group_idx")  # the pieces of one document
     return glued.select(key, (F.row_number().over(order) - 1).alias("piece_idx"), F.col("merged").alias("target"))
 

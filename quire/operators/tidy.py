@@ -67,3 +67,31 @@ def mark_titles(lines: DataFrame, contents: DataFrame, key: str = "doc_id") -> t
     l = lines.withColumn("clean", X.clean_title(F.regexp_replace("line", "^#+ *", "")))
     marked = l.join(c, [key, "clean"], "left").select(key, "line_no", F.when(F.col("level").isNotNull(), F.concat(F.repeat(F.lit("#"), "level"), F.lit(" "), F.regexp_replace("line", "^#+ *", ""))).otherwise(F.col("line")).alias("line"))
     return marked, c.join(l.select(key, "clean").distinct(), [key, "clean"], "left_anti").select(key, "name", "level")
+
+
+#: Letters of romanized readings in brackets, in which no letter is a footnote mark.
+READING = re.compile(r"[（(][a-zA-Z'\u00c0-\u024f\u0300-\u036f\u1e00-\u1eff]+[）)]")
+NOTE_LINE = re.compile(r"\s*([a-zA-Z])\s+\S")
+LONE_LETTER = re.compile(r"(?<![a-zA-Z])[a-zA-Z](?![a-zA-Z])")
+
+
+def letter_notes(text: str) -> str:
+    """Footnotes by letters in Markdown: lines that open with a lone letter are notes, and that letter alone in other lines refers to one.
+
+    Letters inside a bracketed reading refer to nothing, nor do letters that no note has.
+    """
+    lines = text.split("\n")
+    notes = {k: m[1] for k, line in enumerate(lines) if (m := NOTE_LINE.match(line))}
+    known = set(notes.values())
+
+    def referred(line: str) -> str:
+        shut = [m.span() for m in READING.finditer(line)]
+        mark = lambda m: f"[^{m[0]}]" if m[0] in known and not any(a <= m.start() < b for a, b in shut) else m[0]
+        return LONE_LETTER.sub(mark, line)
+
+    return "\n".join(f"[^{notes[k]}]:{line[line.index(notes[k]) + 1 :]}" if k in notes else referred(line) for k, line in enumerate(lines))
+
+
+@arrow_udf(T.StringType())
+def lettered_notes(c: pa.Array) -> pa.Array:
+    return pa.array([None if x is None else letter_notes(x) for x in c.to_pylist()], pa.string())

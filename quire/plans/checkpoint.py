@@ -113,3 +113,13 @@ def run_until_done(chunks: DataFrame, path: str, key: str, providers: list[tuple
             sleep(backoff * k)
         review(left, key, providers, sleep=sleep, **settings).write.mode("append").parquet(path)
     return latest(spark.read.schema(ROWS).parquet(path).where(F.col("run_key") == key))
+
+
+def provider_for(model: str, config: dict[str, dict]) -> tuple[str, dict]:
+    """``(provider, settings)`` of a model by a configuration ``{provider: {"models": [...], ...}}``; an unknown model is an error."""
+    for provider, settings in config.items():
+        models = settings.get("models", {})
+        if model in models:
+            own = models[model] if isinstance(models, dict) else {}
+            return provider, {**{k: v for k, v in settings.items() if k != "models"}, **own}
+    raise ValueError(f"unknown model: {model}")

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import argparse
+import importlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import align, lexicon, segment, structure
+from ..operators import align, lexicon, segment, structure, writeback
 from ..sources import docx, files
 from . import checkpoint
 
@@ -47,17 +48,63 @@ def diff(a: DataFrame, b: DataFrame) -> DataFrame:
     return align.align(side(a, "a").unionByName(side(b, "b")))
 
 
-def main() -> None:
+def write_back(spark: SparkSession, folder: str, edits: DataFrame) -> DataFrame:
+    """``path, content, fates``: the Word documents of a folder with their edits (path, location, current, suggested, note, comment_only).
+
+    An edit on a document by its stem alone, as reviewers name it, meets the document of that stem.
+    """
+    files_ = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.docx").load(folder).select("path", "content")
+    stem = lambda c: F.regexp_extract(c, r"([^/]+?)(?:\.[^./]+)?$", 1)
+    named = edits.withColumn("_stem", stem(F.col("path"))).drop("path").join(files_.select("path", stem(F.col("path")).alias("_stem")), "_stem").drop("_stem")
+    return writeback.write(files_, named)
+
+
+VERBS = {"x": "extract", "p": "proofread", "b": "book", "d": "diff", "s": "special", "m": "max", "w": "writeback"}
+
+
+def main(argv: list[str] | None = None) -> None:
     p = argparse.ArgumentParser(description=__doc__)
-    p.add_argument("verb", choices=["extract", "x", "structure", "diff", "d"])
-    p.add_argument("inputs", nargs="+")
+    p.add_argument("verb", choices=[*VERBS.values(), *VERBS, "structure"])
+    p.add_argument("inputs", nargs="+", help="folders; for special and max also --forms, --standard, --words; for writeback a folder and a table of edits")
     p.add_argument("--out", required=True)
-    args = p.parse_args()
+    p.add_argument("--forms", help="JSON lines of ch, kind, standard_ch")
+    p.add_argument("--standard", help="JSON lines of ch")
+    p.add_argument("--words", help="JSON lines of word, standard")
+    p.add_argument("--provider", help="module:function that takes a text and gives an answer")
+    args = p.parse_args(argv)
     spark = SparkSession.builder.getOrCreate()
-    if args.verb in ("extract", "x"):
+    verb = VERBS.get(args.verb, args.verb)
+    given = lambda path, schema: spark.read.schema(schema).json(path) if path else spark.createDataFrame([], schema)
+
+    def providers() -> list[tuple[str, checkpoint.Provider]]:
+        if not args.provider:
+            raise SystemExit("--provider is needed")
+        module, _, name = args.provider.partition(":")
+        return [(args.provider, getattr(importlib.import_module(module), name))]
+
+    def checks(docs: DataFrame) -> DataFrame:
+        return special(docs, given(args.forms, "ch string, kind string, standard_ch string"), given(args.standard, "ch string"), given(args.words, "word string, standard string"))
+
+    if verb == "extract":
         out = extract(spark, args.inputs[0])
-    elif args.verb == "structure":
+    elif verb == "structure":
         out = structure.diagnostics(documents(spark, args.inputs[0]))
+    elif verb == "special":
+        out = checks(documents(spark, args.inputs[0]))
+        files.write_special(out, f"{args.out}/csv")
+        args.out = f"{args.out}/rows"
+    elif verb in ("proofread", "book"):
+        out = book(documents(spark, args.inputs[0]), f"{args.out}/checkpoint", providers())
+        args.out = f"{args.out}/rows"
+    elif verb == "max":
+        docs = documents(spark, args.inputs[0])
+        files.write_special(checks(docs), f"{args.out}/special")
+        out = book(docs, f"{args.out}/checkpoint", providers())
+        args.out = f"{args.out}/rows"
+    elif verb == "writeback":
+        edits = spark.read.schema("path string, location string, current string, suggested string, note string, comment_only boolean").json(args.inputs[1])
+        write_back(spark, args.inputs[0], edits).write.mode("errorifexists").parquet(args.out)
+        return
     else:
         key = lambda d: d.select(F.xxhash64(F.regexp_extract("path", r"([^/]+)$", 1)).alias("doc_id"), "text")
         out = diff(*(key(documents(spark, x)) for x in args.inputs[:2]))

@@ -133,3 +133,10 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(arrays, [x.split()[0] for x in UNITS.split(", ")])
 
     return files.mapInArrow(run, UNITS)
+
+
+def uses_embedded_body(data: bytes) -> bool:
+    """Whether a document takes its body from other parts: at least one chunk, and no paragraph or table of its own with text."""
+    with zipfile.ZipFile(io.BytesIO(data)) as archive:
+        body = ElementTree.fromstring(archive.read("word/document.xml")).find(W + "body")
+        return body is not None and next(body.iter(W + "altChunk"), None) is not None and not any(accepted_text(p).strip() for p, _ in body_paragraphs(body))

@@ -91,3 +91,48 @@ def write_findings(rows: DataFrame, path: str, source: str | None = None) -> Non
     if source and (source == path or source.startswith(path.rstrip("/") + "/")):
         raise ValueError(f"{path} holds the source {source}")
     rows.write.mode("overwrite").partitionBy("phase").json(path)
+
+
+def write_skipped(rows: DataFrame, path: str) -> None:
+    """Skipped findings (reason, ...) as JSON lines under ``path/rows``, by reason, and their counts under ``path/counts``."""
+    rows.write.mode("overwrite").partitionBy("reason").json(f"{path}/rows")
+    rows.groupBy("reason").agg(F.count("*").alias("skipped")).coalesce(1).write.mode("overwrite").json(f"{path}/counts")
+
+
+def write_special(rows: DataFrame, path: str) -> None:
+    """Findings of the special checks as CSV of five columns without quotes; the first file holds the header with a byte order mark, so that the files put together are read as UTF-8."""
+    clean = lambda c: F.regexp_replace(F.coalesce(F.col(c).cast("string"), F.lit("")), "[,\\r\\n]+", " ")
+    cols = ["type", "original", "suggestion", "start_pos", "severity"]
+    line = F.concat_ws(",", *(clean(c) for c in cols))
+    head = rows.sparkSession.createDataFrame([("\ufeff" + ",".join(cols),)], "value string").withColumn("part", F.lit(0))
+    parts = head.unionByName(rows.select(line.alias("value"), F.lit(1).alias("part"))).repartitionByRange("part")
+    parts.sortWithinPartitions("part").select("value").write.mode("overwrite").text(path)
+
+
+def source_of(findings_path: str, paths: list[str]) -> str | None:
+    """The document of the same stem beside a file of findings; of several the shortest name, then the first."""
+    folder, _, name = findings_path.rpartition("/")
+    stem = name.rsplit(".", 1)[0]
+    same = [p for p in paths if p.rpartition("/")[0] == folder and p.lower().endswith(".docx") and stem.startswith(p.rpartition("/")[2][:-5]) and p.rpartition("/")[2][:-5]]
+    exact = [p for p in same if p.rpartition("/")[2][:-5] == stem]
+    return min(exact or same, key=lambda p: (len(p), p), default=None)
+
+
+def review_source(spark: SparkSession, folder: str) -> DataFrame:
+    """``path, sha256, pos, text, error`` of every file of a folder by its kind: Word documents by paragraphs, Markdown by lines.
+
+    A file of another kind, one that can't be read, and one without any text give one row with an ``error``.
+    """
+    from . import docx
+
+    plain = F.regexp_replace("path", "^file:/+", "file:/")  # readers write local paths in two ways
+    m = manifest(spark, folder).select(plain.alias("path"), "sha256")
+    kind = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
+    word = docx.read(spark, folder).select(plain.alias("path"), "pos", "text", F.when(F.col("kind") == "error", F.col("text")).alias("error"))
+    lines = texts(spark, folder).select(plain.alias("path"), F.posexplode(F.split("text", "\r\n?|\n")).alias("pos", "text")).withColumn("error", F.lit(None).cast("string"))
+    units = word.unionByName(lines)
+    full = units.groupBy("path").agg(F.max((F.trim(F.coalesce("text", F.lit(""))) != "").cast("int")).alias("full"))
+    j = m.join(full, "path", "left")
+    bad = j.where(~kind.isin("docx", "md") | F.coalesce("full", F.lit(0)).eqNullSafe(0)).select("path", "sha256", F.lit(None).cast("int").alias("pos"), F.lit(None).cast("string").alias("text"), F.when(kind.isin("docx", "md"), "no_text").otherwise("unsupported").alias("error"))
+    good = units.join(j.where("full = 1").select("path", "sha256"), "path").select("path", "sha256", "pos", F.when(F.col("error").isNull(), F.col("text")).alias("text"), "error")
+    return good.unionByName(bad)
