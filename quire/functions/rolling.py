@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 STEP = np.uint64(0xA24BAED4963EE407)
-BITS = 24  # bits of a hash that a bitmap tells apart: 2 MB however many hashes there are
+BITS = 26  # bits of a hash that a bitmap tells apart: 8 MB however many hashes there are
+SECOND = 20  # bits by which the second slot of a hash begins further down
 
 
 def codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -36,10 +37,17 @@ def runs(chars: np.ndarray, sizes: list[int]) -> dict[int, np.ndarray]:
     return out
 
 
+def power(length: Column) -> Column:
+    """The greatest power of two that is no more than a length of 1 or more."""
+    return F.pow(F.lit(2), F.length(F.bin(length)) - 1).cast("int")
+
+
 def bitmap(hashes: DataFrame, column: str) -> np.ndarray:
-    """The first BITS bits of all hashes; at most 2 ** (BITS - 15) rows of 4 KB come to the driver."""
-    slot = (F.shiftrightunsigned(column, 64 - BITS) + 1).alias("s")
-    parts = hashes.where(F.col(column).isNotNull()).select(slot).groupBy(F.bitmap_bucket_number("s").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("m"))
+    """Two slots of BITS bits of every hash, marked; at most 2 ** (BITS - 15) rows of 4 KB come to the driver."""
+    h = F.col(column)
+    slots = F.array(F.shiftrightunsigned(h, 64 - BITS), F.shiftrightunsigned(h, 64 - BITS - SECOND).bitwiseAND((1 << BITS) - 1))
+    each = hashes.where(h.isNotNull()).select((F.explode(slots) + 1).alias("s"))
+    parts = each.groupBy(F.bitmap_bucket_number("s").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("m"))
     bits = np.zeros(1 << (BITS - 3), np.uint8)
     for r in parts.collect():
         bits[(r["b"] - 1) * 4096 : r["b"] * 4096] = np.frombuffer(r["m"], np.uint8)
@@ -48,5 +56,10 @@ def bitmap(hashes: DataFrame, column: str) -> np.ndarray:
 
 def maybe(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
     """Positions of the hashes that a bitmap doesn't rule out."""
-    s = (h >> np.uint64(64 - BITS)).astype(np.int64)
-    return np.nonzero(bits[s >> 3] >> (s & 7).astype(np.uint8) & 1)[0]
+    at = np.nonzero(_marked(bits, h >> np.uint64(64 - BITS)))[0]
+    return at[_marked(bits, h[at] >> np.uint64(64 - BITS - SECOND) & np.uint64((1 << BITS) - 1))]
+
+
+def _marked(bits: np.ndarray, slot: np.ndarray) -> np.ndarray:
+    s = slot.astype(np.int64)
+    return (bits[s >> 3] >> (s & 7).astype(np.uint8) & 1).astype(bool)

@@ -1,13 +1,12 @@
 """Checks against character and word lexicons.
 
 A lexicon is a table. Occurrences of its words are found by an automaton where it is small, and else by joining the
-text's n-grams with the words of the same length, so that a contains join becomes a hash join.
+places where a word may begin with the words on a hash; both are one scan of the texts and give the same rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -74,15 +73,14 @@ def word_findings(docs: DataFrame, lexicon: DataFrame, key: str = "doc_id", text
     """``key, start_pos, end_pos, word, suggestion`` of every occurrence of the lexicon's words, overlapping ones too.
 
     ``lexicon``: (word, standard). A lexicon of at most AUTOMATON_WORDS, which is counted, is searched for by one
-    automaton in one pass over the texts; a larger one, or one where there is no automaton, by joins.
+    automaton in one pass over the texts; a larger one, or one where there is no automaton, by a join.
     """
     words = lexicon.where(F.length("word") > 0)
     if ahocorasick is not None:
         known = words.limit(AUTOMATON_WORDS + 1).collect()
         if len(known) <= AUTOMATON_WORDS:
             return _by_automaton(docs, [(r["word"], r["standard"]) for r in known], key, text)
-    lengths = [r[0] for r in words.select(F.length("word")).distinct().collect()]  # words have few lengths
-    return _by_joins(docs, words, sorted(lengths), key, text)
+    return _by_join(docs, words, key, text)
 
 
 FINDING = "start_pos int, end_pos int, word string, suggestion string"
@@ -114,13 +112,45 @@ def _by_automaton(docs: DataFrame, words: list[tuple[str, str]], key: str, text:
     return docs.select(key, text).mapInArrow(run, f"{key} {kind}, {FINDING}")
 
 
-def _by_joins(docs: DataFrame, lexicon: DataFrame, lengths: list[int], key: str, text: str) -> DataFrame:
-    found = []
-    for n in lengths:
-        words = lexicon.where(F.length("word") == n).select("word", F.col("standard").alias("suggestion"))
-        grams = docs.where(F.length(text) >= n).select(key, F.inline(T.gram_positions(F.col(text), n)))
-        found.append(grams.join(words, grams["gram"] == words["word"]).select(key, F.col("pos").alias("start_pos"), (F.col("pos") + n).alias("end_pos"), "word", "suggestion"))
-    return reduce(DataFrame.unionByName, found) if found else docs.sparkSession.createDataFrame([], f"{key} {docs.schema[key].dataType.simpleString()}, {FINDING}")
+def _by_join(docs: DataFrame, lexicon: DataFrame, key: str, text: str) -> DataFrame:
+    """One scan of the texts for words of all lengths.
+
+    A word goes by the hash of the longest run of a power of two of characters that it begins with. A bitmap of fixed size of
+    those hashes gives the places of the texts where a word may stand; these meet the words on the hash, where the whole word is compared.
+    """
+    words = lexicon.select("word", F.col("standard").alias("suggestion"))
+    kind = docs.schema[key].dataType.simpleString()
+
+    def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = [1 << len(w).bit_length() - 1 for w in batch.column(0).to_pylist()]
+            h = [rolling.runs(rolling.codes([w[:k]])[0], [k])[k][0] for w, k in zip(batch.column(0).to_pylist(), n)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n, pa.int32()), pa.array(np.array(h, np.uint64).view(np.int64))], ["word", "suggestion", "n", "h"])
+
+    k = words.mapInArrow(anchors, "word string, suggestion string, n int, h long")
+    sizes = sorted(r[0] for r in words.select(rolling.power(F.length("word"))).distinct().collect())  # powers of two
+    shared = docs.sparkSession.sparkContext.broadcast((rolling.bitmap(k, "h"), sizes))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, sizes = shared.value
+        for batch in batches:
+            at, pos, hashes, seen = [], [], [], []
+            for row, body in enumerate(batch.column(1).to_pylist()):
+                for n, h in rolling.runs(rolling.codes([body or ""])[0], sizes).items():
+                    for p in rolling.maybe(bits, h).tolist():
+                        at.append(row)
+                        pos.append(p)
+                        hashes.append(h[p])
+                        seen.append(body[p : p + 2 * n])  # a word with this run has fewer than twice its characters
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(pos, pa.int32()), pa.array(np.array(hashes, np.uint64).view(np.int64)), pa.array(seen, pa.string())], [key, "start_pos", "h", "seen"])
+
+    places = docs.select(key, text).mapInArrow(scan, f"{key} {kind}, start_pos int, h long, seen string").withColumn("salt", F.pmod(F.xxhash64(key, "start_pos"), F.lit(SALTS)).cast("int"))
+    salted = k.select("word", "suggestion", "h", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    met = places.join(salted, ["h", "salt"]).where(F.startswith("seen", "word"))
+    return met.select(key, "start_pos", (F.col("start_pos") + F.length("word")).cast("int").alias("end_pos"), "word", "suggestion")
+
+
+SALTS = 8  # parts of the places of a frequent word
 
 
 def first_occurrences(found: DataFrame, key: str = "doc_id") -> DataFrame:

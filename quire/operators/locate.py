@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -58,7 +59,7 @@ def in_book(keys: DataFrame, chunks: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n, pa.int32()), pa.array(np.array(h, np.uint64).view(np.int64))], ["book_id", "key", "n", "h"])
 
     k = distinct.mapInArrow(anchors, "book_id long, key string, n int, h long")
-    sizes = sorted(r[0] for r in k.select("n").distinct().collect())  # powers of two
+    sizes = sorted(r[0] for r in distinct.select(rolling.power(F.length("key"))).distinct().collect())  # powers of two
     shared = keys.sparkSession.sparkContext.broadcast((rolling.bitmap(k, "h"), sizes))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,20 +130,40 @@ def apply_replacements(docs: DataFrame, edits: DataFrame, key: str = "doc_id", t
     return done.select(key, F.col("r.t").alias(text), F.col("r.n").alias("applied"), (F.coalesce(F.size("edits"), F.lit(0)) - F.col("r.n")).alias("dropped")).withColumn("dropped", F.greatest("dropped", F.lit(0)))
 
 
+HEADING = re.compile(r"^(#{1,6})[ \t]+(?=\S)", re.M)
+DEEPEST = 6
+
+
 def headings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key, start_pos, level, title, end_pos``: Markdown headings and how far they reach.
+    """``key, start_pos, level, title, end_pos, parent_pos``: Markdown headings, how far they reach, and what they stand under.
 
-    A heading reaches to the next one whose level is at most one deeper than its own. Found within the row: the text is
-    split before its headings, and only those are compared.
+    A heading reaches to the next one whose level is at most one deeper than its own, or to the end; it stands under the last one
+    before it of a lower level (-1 without one). Both are told by the last place of each level, so a text is linear in its headings.
     """
-    shape = r"#{1,6}[ \t]+\S"
-    parts = F.split(F.concat(F.lit("\n"), F.col(text)), rf"\n(?={shape})")
-    sizes = F.transform(parts, lambda x: F.length(x))
-    starts = F.aggregate(sizes, F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n + 1)))
-    rows = F.transform(F.arrays_zip(parts.alias("part"), F.slice(starts, 1, F.size(parts)).alias("at")), lambda z: F.struct((z["at"] - 1).alias("start_pos"), F.length(F.regexp_extract(z["part"], "^(#{1,6})[ \\t]+\\S", 1)).alias("level"), F.regexp_replace(F.substring_index(z["part"], "\n", 1), r"^#{1,6}[ \t]+", "").alias("title")))
-    heads = docs.where(F.col(text).contains("#")).select(key, F.length(text).alias("_size"), F.filter(rows, lambda r: r["level"] > 0).alias("_heads"))
-    after = lambda h: F.array_min(F.transform(F.filter("_heads", lambda o: (o["start_pos"] > h["start_pos"]) & (o["level"] <= h["level"] + 1)), lambda o: o["start_pos"]))
-    return heads.select(key, F.inline(F.transform("_heads", lambda h: F.struct(h["start_pos"], h["level"], h["title"], F.coalesce(after(h), F.col("_size")).alias("end_pos")))))
+    kind = docs.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, rows = [], []
+            for k, body in enumerate(batch.column(1).to_pylist()):
+                found = [(m.start(), len(m[1]), m.end()) for m in HEADING.finditer(body)]
+                above, parents = [-1] * (DEEPEST + 1), []
+                for start, level, _ in found:
+                    parents.append(max(above[:level]))
+                    above[level] = start
+                below, ends = [len(body)] * (DEEPEST + 2), []
+                for start, level, _ in reversed(found):
+                    ends.append(min(below[: level + 2]))
+                    below[level] = start
+                at += [k] * len(found)
+                line_end = lambda p: body.find("\n", p) if body.find("\n", p) >= 0 else len(body)  # noqa: E731, B023
+                rows += [(start, level, body[after : line_end(after)], end, parent) for (start, level, after), end, parent in zip(found, reversed(ends), parents)]
+            cols = list(zip(*rows)) or [()] * 5
+            types = (pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *(pa.array(c, t) for c, t in zip(cols, types))], [key, "start_pos", "level", "title", "end_pos", "parent_pos"])
+
+    heads = docs.where(F.col(text).contains("#")).select(key, text)
+    return heads.mapInArrow(run, f"{key} {kind}, start_pos int, level int, title string, end_pos int, parent_pos int")
 
 
 def chapter_of(points: DataFrame, chapters: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -24,6 +24,12 @@ def _named(spark, sf):
     return locate.in_named_chunk(f, table(spark, sf, "your_markdown", "chunk_id", "target"))
 
 
+def _keys(spark, sf):
+    f = table(spark, sf, "max_pipeline", "finding_id", "book_id", "original_sentence")
+    key = locate.key_text(F.col("original_sentence"))
+    return f.select("finding_id", "book_id", key.alias("key"), (F.length(T.squeeze(F.coalesce(key, F.lit("")))) == 0).alias("blank"))
+
+
 def _residual(spark, sf):
     return _named(spark, sf).where("outcome in ('not_in_chunk', 'p_out_of_range')")
 
@@ -39,8 +45,7 @@ def exact_locate(spark, sf):
     SELECT k.finding_id, count(*) AS chunks, min(c.chunk_id) AS chunk_id FROM k JOIN your_markdown c ON k.book_id = c.book_id AND contains(c.target, k.key) GROUP BY k.finding_id""")
 def book_locate(spark, sf):
     """Chunks of the book that hold a key, whatever chunk the finding names; more than one is a duplicate anchor."""
-    keys = _named(spark, sf).where("outcome <> 'empty_key_text'").select("finding_id", "book_id", "key")
-    return locate.in_book(keys, spread(table(spark, sf, "your_markdown", "book_id", "chunk_id", "target")))
+    return locate.in_book(_keys(spark, sf).where(~F.col("blank")), spread(table(spark, sf, "your_markdown", "book_id", "chunk_id", "target")))
 
 
 @catalogue.query(f"""
@@ -50,9 +55,9 @@ def book_locate(spark, sf):
     FROM ({_NAMED}) f LEFT JOIN n USING (finding_id) GROUP BY 1""")
 def anchor_outcomes(spark, sf):
     """What becomes of findings that name no chunk: their key must stand in one chunk of the book alone."""
-    n = _named(spark, sf)
-    found = locate.in_book(n.where("outcome <> 'empty_key_text'").select("finding_id", "book_id", "key"), spread(table(spark, sf, "your_markdown", "book_id", "chunk_id", "target")))
-    outcome = F.when(F.col("outcome") == "empty_key_text", "empty_key_text").when(F.col("chunks").isNull(), "not_found").when(F.col("chunks") > 1, "duplicate_anchor").otherwise("located")
+    n = _keys(spark, sf)
+    found = locate.in_book(n.where(~F.col("blank")), spread(table(spark, sf, "your_markdown", "book_id", "chunk_id", "target")))
+    outcome = F.when(F.col("blank"), "empty_key_text").when(F.col("chunks").isNull(), "not_found").when(F.col("chunks") > 1, "duplicate_anchor").otherwise("located")
     return n.join(found.drop("chunk_id"), "finding_id", "left").groupBy(outcome.alias("outcome")).agg(F.count("*").alias("findings"))
 
 
@@ -81,7 +86,7 @@ def finding_context(spark, sf):
     h AS (SELECT chunk_id, start_pos, length(regexp_extract(line, '^(#{{1,6}})[ \\t]+\\S', 1)) AS level, regexp_replace(line, '^#{{1,6}}[ \\t]+', '') AS title, length(target) AS size FROM o WHERE regexp_matches(line, '^#{{1,6}}[ \\t]+\\S'))
     SELECT a.chunk_id, a.start_pos::INT AS start_pos, a.level::INT AS level, a.title, coalesce((SELECT min(b.start_pos) FROM h b WHERE b.chunk_id = a.chunk_id AND b.start_pos > a.start_pos AND b.level <= a.level + 1), a.size)::INT AS end_pos FROM h a""")
 def chapter_map(spark, sf):
-    return locate.headings(table(spark, sf, "your_markdown", "chunk_id", "target"), "chunk_id", "target")
+    return locate.headings(table(spark, sf, "your_markdown", "chunk_id", "target"), "chunk_id", "target").drop("parent_pos")
 
 
 @catalogue.query(f"""

@@ -30,10 +30,7 @@ def structure_diagnostics(spark, sf):
     SELECT a.chunk_id, a.start_pos, a.level, coalesce((SELECT max(b.start_pos) FROM h b WHERE b.chunk_id = a.chunk_id AND b.start_pos < a.start_pos AND b.level < a.level), -1)::INT AS parent_pos FROM h a""")
 def heading_parents(spark, sf):
     """The nearest earlier heading of a lower level, found within each row."""
-    h = locate.headings(table(spark, sf, "your_markdown", "chunk_id", "target"), "chunk_id", "target")
-    g = h.groupBy("chunk_id").agg(F.array_sort(F.collect_list(F.struct("start_pos", "level"))).alias("hs"))
-    above = lambda x: F.coalesce(F.array_max(F.transform(F.filter("hs", lambda o: (o["start_pos"] < x["start_pos"]) & (o["level"] < x["level"])), lambda o: o["start_pos"])), F.lit(-1))
-    return g.select("chunk_id", F.inline(F.transform("hs", lambda x: F.struct(x["start_pos"], x["level"], above(x).alias("parent_pos")))))
+    return locate.headings(table(spark, sf, "your_markdown", "chunk_id", "target"), "chunk_id", "target").select("chunk_id", "start_pos", "level", "parent_pos")
 
 
 @catalogue.query(f"""

@@ -80,7 +80,7 @@ def test_lexicon(spark):
     words = spark.createDataFrame([("较对", "校对"), ("对较", "?"), ("无", "有")], "word string, standard string")
     got = {(r["start_pos"], r["word"]) for r in lexicon.word_findings(docs, words).collect()}
     assert got == {(0, "较对"), (1, "对较"), (2, "较对")}
-    assert {(r["start_pos"], r["word"]) for r in lexicon._by_joins(docs, words, [1, 2], "doc_id", "text").collect()} == got
+    assert {(r["start_pos"], r["word"]) for r in lexicon._by_join(docs, words, "doc_id", "text").collect()} == got
     kept = lexicon.resolve_overlaps(lexicon.word_findings(docs, words)).where("kept").collect()
     assert [r["start_pos"] for r in kept] == [0]
     assert lexicon.word_findings(docs, words.limit(0)).count() == 0
