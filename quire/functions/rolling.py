@@ -46,7 +46,7 @@ def bitmap(hashes: DataFrame, column: str) -> np.ndarray:
     """Two slots of BITS bits of every hash, marked; at most 2 ** (BITS - 15) rows of 4 KB come to the driver."""
     h = F.col(column)
     slots = F.array(F.shiftrightunsigned(h, 64 - BITS), F.shiftrightunsigned(h, 64 - BITS - SECOND).bitwiseAND((1 << BITS) - 1))
-    each = hashes.where(h.isNotNull()).select((F.explode(slots) + 1).alias("s"))
+    each = hashes.where(h.isNotNull()).select(F.explode(slots).alias("slot")).select((F.col("slot") + 1).alias("s"))
     parts = each.groupBy(F.bitmap_bucket_number("s").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("m"))
     bits = np.zeros(1 << (BITS - 3), np.uint8)
     for r in parts.collect():
