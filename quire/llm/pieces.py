@@ -72,14 +72,14 @@ def splits_cluster(text: str, at: int) -> bool:
 def cut(text: str, limit: int, overlap: int) -> list[tuple[int, int]]:
     """``[start, end)`` of the pieces of at most ``limit`` characters.
 
-    Each piece starts ``overlap`` characters before the end of the one before it (fewer only where the overlap
-    is not below half the limit: it is then cut down to that). A text within the limit is one piece.
+    Each piece starts ``overlap`` characters before the end of the one before it; an overlap that leaves no new character to a
+    piece is cut down to one below the limit. A text within the limit is one piece.
     """
     n = len(text)
     limit = max(1, limit)
     if n <= limit:
         return [(0, n)]
-    overlap = max(0, min(overlap, (limit - 1) // 2))
+    overlap = max(0, min(overlap, limit - 1))
     step = limit - overlap  # new characters a piece can hold after the first
     least = max(1, step // 3)
     ranks = boundary_ranks(text)
