@@ -93,6 +93,13 @@ def _grown_windows(text: str, fragment: str, low: int, high: int) -> tuple[str,
     return text[-at : -at - size], -at, r
 
 
+def windows_of_length(text: str, fragment: str) -> tuple[str, int, float] | None:
+    """The best window of just the fragment's length: ``(window, position, ratio)``."""
+    if (at := text.find(fragment)) >= 0:
+        return fragment, at, 100.0
+    return _grown_windows(text, fragment, len(fragment), len(fragment)) if len(text) >= len(fragment) else None
+
+
 def common_substring(a: str, b: str) -> str:
     """The first longest common substring."""
     m = SequenceMatcher(None, a, b, autojunk=False).find_longest_match()

@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import re
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import similarity
+from . import filters
+
 ANCHOR = 6
 BREAKS = re.compile(r"[^\w]|[0-9０-９_]")
 
@@ -58,3 +62,77 @@ def fragments(c, least: int = ANCHOR):
     """Column: the stretches of a text between marks, blanks and digits of ``least`` characters or more, longest first."""
     parts = F.filter(F.split(c, r"[\p{P}\p{S}\p{Z}\p{Nd}\s]+"), lambda x: F.length(x) >= least)
     return F.transform(F.array_sort(F.transform(parts, lambda x: F.struct((-F.length(x)).alias("n"), x.alias("x")))), lambda s: s["x"])
+
+
+CUTOFF, ENDS, TIE = 85.0, 80.0, 0.5  # least ratio of a place, of its first and last END characters, and by how much another must be worse
+END, LEAST = 4, 4
+PLACES = "needle_id {kind}, doc_id {doc}, start_pos int, end_pos int, score double, tied boolean"
+
+
+def similar_place(text: str, needle: str, low: int, high: int) -> tuple[int, int, float] | None:
+    """The window of the needle's length in ``text[low:high]`` most like it, if it reaches CUTOFF and both its ends reach ENDS."""
+    n = len(needle)
+    if n < LEAST or high - low < n or (m := similarity.windows_of_length(text[low:high], needle)) is None or m[2] < CUTOFF:
+        return None
+    found, at, score = m
+    for a, b in ((needle[:END], found[:END]), (needle[-END:], found[-END:])):
+        if similarity.partial_ratio(a, b)[0] < ENDS:
+            return None
+    return low + at, low + at + n, score
+
+
+def fuzzy(texts: DataFrame, needles: DataFrame) -> DataFrame:
+    """``needle_id, doc_id, start_pos, end_pos, score, tied``: the most similar place of each needle (needle_id, doc_id, needle, low, high) within ``low..high``.
+
+    ``low`` and ``high`` are null for the whole text. The stretches left and right of the place are searched again: another one within TIE makes it tied. Needles under
+    LEAST characters and those without a place are left out.
+    """
+    given = needles.select("needle_id", "doc_id", F.regexp_replace("needle", r"\s+", "").alias("needle"), "low", "high").join(texts, "doc_id")
+
+    def run(batches):
+        for batch in batches:
+            at, out = [], []
+            for k, (needle, low, high, text) in enumerate(zip(*(batch.column(c).to_pylist() for c in (2, 3, 4, 5)))):
+                low, high = low or 0, len(text) if high is None else min(high, len(text))
+                if best := similar_place(text, needle or "", low, high):
+                    others = (similar_place(text, needle, low, best[0]), similar_place(text, needle, best[1], high))
+                    at.append(k)
+                    out.append((*best, any(o and o[2] >= best[2] - TIE for o in others)))
+            take, cols = pa.array(at, pa.int64()), list(zip(*out)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), *(pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.float64(), pa.bool_())))], ["needle_id", "doc_id", "start_pos", "end_pos", "score", "tied"])
+
+    rows = given.select("needle_id", "doc_id", "needle", F.col("low").cast("int"), F.col("high").cast("int"), "text")
+    return rows.mapInArrow(run, PLACES.format(kind=rows.schema["needle_id"].dataType.simpleString(), doc=rows.schema["doc_id"].dataType.simpleString()))
+
+
+def cascade(needles: DataFrame, idx: DataFrame, allow_fragment: bool = False, allow_fuzzy: bool = False) -> DataFrame:
+    """``needle_id, doc_id, method, status, start_pos, end_pos, score``: exact places, then those of fragments, longest first, then similar ones.
+
+    ``needles``: (needle_id, doc_id, needle, page_hint); a null hint is the whole document. Status: ``hit``, ``preview`` (by a fragment or by
+    similarity, unless allowed), ``ambiguous``, ``skip`` (too short, too long, or without a place). Each stage gets what the ones before left.
+    """
+    guarded = filters.fragment_guard(needles, "needle")
+    sound, texts = guarded.where("rejected is null").drop("rejected"), streams(idx)
+    size = F.length(F.regexp_replace("needle", r"\s+", ""))
+    hints = sound.where("page_hint is not null").select("needle_id", "page_hint")
+
+    def placed(rows: DataFrame, method: str, score) -> DataFrame:
+        status = F.when(F.col("status") == "ambiguous", "ambiguous").when(F.lit(method == "fragment" and not allow_fragment), "preview").otherwise("hit")
+        return rows.select("needle_id", "doc_id", F.lit(method).alias("method"), status.alias("status"), "start_pos", "end_pos", score.alias("score"))
+
+    one = located(occurrences(texts, sound), idx, hints)
+    exact = placed(one, "exact", F.lit(100.0))
+    left = sound.join(exact.select("needle_id", "doc_id"), ["needle_id", "doc_id"], "left_anti")
+    parts = left.select("needle_id", "doc_id", size.alias("size"), "page_hint", F.posexplode(fragments(F.col("needle"))).alias("nth", "needle"))
+    named = parts.withColumn("needle_id", F.struct("needle_id", "nth", "size"))
+    some = located(occurrences(texts, named), idx, named.where("page_hint is not null").select("needle_id", "page_hint"))
+    first = some.groupBy(F.col("needle_id.needle_id").alias("needle_id"), "doc_id").agg(F.min_by(F.struct("status", "start_pos", "end_pos", F.col("needle_id.size").alias("size")), "needle_id.nth").alias("b")).select("needle_id", "doc_id", "b.*")
+    fragment = placed(first, "fragment", F.round(F.lit(100.0) * (F.col("end_pos") - F.col("start_pos")) / F.col("size"), 1))
+    left = left.join(fragment.select("needle_id", "doc_id"), ["needle_id", "doc_id"], "left_anti")
+    pages = idx.groupBy("doc_id", F.col("page").alias("page_hint")).agg(F.min("char_pos").alias("low"), (F.max("char_pos") + 1).alias("high"))
+    whole = left.where("page_hint is null").select("needle_id", "doc_id", "needle", F.lit(None).cast("int").alias("low"), F.lit(None).cast("int").alias("high"))
+    like = fuzzy(texts, whole.unionByName(left.join(pages, ["doc_id", "page_hint"]).select("needle_id", "doc_id", "needle", F.col("low").cast("int"), F.col("high").cast("int"))))
+    similar = like.select("needle_id", "doc_id", F.lit("fuzzy").alias("method"), F.when(F.col("tied"), "ambiguous").when(F.lit(allow_fuzzy), "hit").otherwise("preview").alias("status"), "start_pos", "end_pos", "score")
+    found = exact.unionByName(fragment).unionByName(similar)
+    none = guarded.join(found.select("needle_id", "doc_id"), ["needle_id", "doc_id"], "left_anti")
+    return found.unionByName(none.select("needle_id", "doc_id", F.lit("none").alias("method"), F.lit("skip").alias("status"), *(F.lit(-1).alias(c) for c in ("start_pos", "end_pos")), F.lit(0.0).alias("score")))

@@ -41,3 +41,32 @@ def test_report(spark):
     assert [n["raw_text"] for n in tree] == ["第一章", "第二章"] and tree[0]["children"][0]["raw_text"] == "第一节"
     f = spark.createDataFrame([(1, "error", "一", 5), (1, "info", None, None), (1, "warn", "零", 1)], "doc_id int, severity string, chapter string, position int")
     assert [r["chapter"] for r in report.by_chapter(f).collect()] == ["零", "一", "结构诊断"] and report.cards(f).first()["total"] == 3
+
+
+def test_cascade(spark):
+    pages_ = ["盐船逆水而上码头夜里点灯渡口无人", "书稿送到灯塔值更的人已经睡了", "盐船逆水而上码头夜里点灯渡口无人看管又来一句收尾"]
+    chars = [("d", p, p * 100, k, ch, 1.0 * k, 0.0, 1.0 * k + 1, 1.0) for p, t in enumerate(pages_, 1) for k, ch in enumerate(t)]
+    idx = pages.index(spark.createDataFrame(chars, "doc_id string, page int, line_id int, seq int, ch string, x0 double, y0 double, x1 double, y1 double"))
+    rows = [
+        (1, "d", "书稿送到灯塔", None),  # exact
+        (2, "d", "盐船逆水而上", None),  # on two pages
+        (3, "d", "盐船逆水而上", 3),  # the hint decides
+        (4, "d", "书稿送到灯塔值更的人，却无别话", None),  # a fragment
+        (5, "d", "书稿送至灯塔值更的人已经睡了", 2),  # fuzzy by one letter, but a fragment comes first
+        (6, "d", "书稿送到灯塔值更的入已经睡了啊", None),
+        (7, "d", "无此", None),
+        (8, "d", "短", None),
+        (9, "d", None, None),
+        (10, "d", "书搞送到灯踏值更的", None),  # no fragment has a place
+    ]
+    needles = spark.createDataFrame(rows, "needle_id int, doc_id string, needle string, page_hint int")
+    got = {r["needle_id"]: (r["method"], r["status"]) for r in pages.cascade(needles, idx).collect()}
+    assert len(got) == len(rows)
+    assert got[1] == ("exact", "hit") and got[2] == ("exact", "ambiguous") and got[3] == ("exact", "hit")
+    assert got[4] == ("fragment", "preview") and got[7] == got[8] == got[9] == ("none", "skip")
+    assert got[5][0] == "fuzzy" and got[5][1] == "preview" and got[6][0] in ("fuzzy", "none")
+    allowed = {r["needle_id"]: (r["method"], r["status"]) for r in pages.cascade(needles, idx, True, True).collect()}
+    assert allowed[4] == ("fragment", "hit") and allowed[5] == ("fuzzy", "hit")
+    assert pages.cascade(needles.limit(0), idx).count() == 0
+    assert pages.similar_place("甲乙丙丁戊己庚辛壬癸甲乙丙丁戊己庚辛壬子", "甲乙丙丁戊己庚辛壬丑", 0, 20) is not None
+    assert pages.similar_place("甲乙丙", "甲乙丙丁", 0, 3) is None
