@@ -195,8 +195,14 @@ def finish(items: Histogram, gaps: Histogram, capacity: int) -> list[tuple[int,
 
 
 def _room(items: Histogram, gaps: Histogram) -> tuple[int, int]:
-    """``(room of a bundle, least size offered)``: the largest items that fill what one bundle a gap can take."""
+    """``(room of a bundle, least size offered)``.
+
+    Where items of more than half that room are as many as the gaps of more than half of it, only those are offered, so that no bundle of
+    smaller ones takes their gaps; else the largest items that fill what one bundle a gap can take.
+    """
     room = max(gaps) // 2 or 1
+    if sum(n for s, n in items.items() if 2 * s > room) >= sum(n for w, n in gaps.items() if 2 * w > room):
+        return room, room // 2 + 1
     want = sum(n * min(w, room) for w, n in gaps.items() if w >= min(items))
     for size in sorted(items, reverse=True):
         want -= size * items[size]
