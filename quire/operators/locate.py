@@ -100,8 +100,20 @@ def _apart(rows: DataFrame) -> DataFrame:
 def by_similarity(residual: DataFrame, chunks: DataFrame) -> DataFrame:
     """Best window of the named chunk for each key not found in it: ``finding_id, found, position, ratio, accepted``."""
     j = _apart(residual.join(chunks.select("chunk_id", "target"), "chunk_id").where("target is not null"))
-    m = j.select("finding_id", similarity.best_window("target", "key").alias("m"))
-    return m.select("finding_id", "m.found", "m.position", F.round("m.ratio", 6).alias("ratio"), (F.col("m.ratio") >= ACCEPT).alias("accepted")).where("found is not null")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:  # a filter on an Arrow function's result would search twice
+        for batch in batches:
+            at, found = [], []
+            for k, (text, key) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
+                if key is not None and (m := similarity.best_match(text, key)):
+                    at.append(k)
+                    found.append((m[0], m[1], round(m[2], 6), m[2] >= ACCEPT))
+            cols = list(zip(*found)) or [()] * 4
+            types = (pa.string(), pa.int32(), pa.float64(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *(pa.array(c, t) for c, t in zip(cols, types))], ["finding_id", "found", "position", "ratio", "accepted"])
+
+    rows = j.select("finding_id", "target", "key")
+    return rows.mapInArrow(run, f"finding_id {rows.schema['finding_id'].dataType.simpleString()}, found string, position int, ratio double, accepted boolean")
 
 
 def clear_winner(candidates: DataFrame, key: str = "finding_id") -> DataFrame:
