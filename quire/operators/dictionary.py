@@ -95,3 +95,12 @@ def tables_of(rows: DataFrame, names: list[str]) -> DataFrame:
     """The named map columns of a compact dictionary, and nothing else; a missing or null one is an empty map."""
     empty = F.create_map().cast("map<string,string>")
     return rows.select(*((F.coalesce(F.col(n), empty) if n in rows.columns else empty).alias(n) for n in names))
+
+
+def distribution(source: DataFrame, buckets: list[str], extra: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """The compact form of the records (bucket, head, label, raw) of some buckets, with those of ``extra`` whose head is missing; and how its expansion differs from them, which must be nothing."""
+    kept = source.where(F.col("bucket").isin(buckets)).select("head", "label", "raw").distinct()
+    if extra is not None:
+        kept = kept.unionByName(extra.select("head", "label", "raw").distinct().join(kept.select("head").distinct(), "head", "left_anti"))
+    packed = compact(kept)
+    return packed, differences(expand(packed), kept)

@@ -34,6 +34,36 @@ def with_running_sum(rows: DataFrame, key: str, bucket: Column, order: list[str]
     return j.withColumn(name, F.col("_own") + F.col("_start")).select(*rows.columns, name)
 
 
+def with_running_max(rows: DataFrame, key: str, bucket: Column, order: list[str], value: str, name: str) -> DataFrame:
+    """Adds ``name``: the greatest value of the key's rows up to this one."""
+    r = rows.withColumn("_bucket", bucket)
+    w = Window.partitionBy(key, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    r = r.withColumn("_own", F.max(value).over(w))
+    tops = r.groupBy(key, "_bucket").agg(F.max(value).alias("_top"))
+    before = Window.partitionBy(key).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    start = tops.select(F.col(key).alias("_k"), F.col("_bucket").alias("_b"), F.max("_top").over(before).alias("_start"))
+    j = r.join(start, r[key].eqNullSafe(start["_k"]) & r["_bucket"].eqNullSafe(start["_b"]), "left")
+    return j.withColumn(name, F.greatest("_own", "_start")).select(*rows.columns, name)
+
+
+def _micros(ts: str) -> Column:
+    """Microseconds since 1970 by the clock that the column shows, with or without a zone."""
+    seconds = F.hour(ts) * 3600 + F.minute(ts) * 60
+    return (F.unix_date(F.to_date(ts)).cast("long") * 86400 + seconds) * 1_000_000 + (F.extract(F.lit("SECOND"), F.col(ts)) * 1_000_000).cast("long")
+
+
+def paced(calls: DataFrame, key: str, gap: int, tie: str, ts: str = "ts") -> DataFrame:
+    """Adds ``at_us``: when each call may go, in microseconds, so that a key's calls are ``gap`` microseconds apart, none before it came.
+
+    The n-th call goes at n gaps after the latest start that any call up to it would set: ``n * gap + max(ts - n * gap)``.
+    """
+    day = F.to_date(ts)
+    c = with_running_sum(calls.withColumn("_one", F.lit(1)), key, day, [ts, tie], "_one", "_n")
+    c = c.withColumn("_from", _micros(ts) - F.col("_n") * gap)
+    c = with_running_max(c, key, day, [ts, tie], "_from", "_latest")
+    return c.withColumn("at_us", F.col("_latest") + F.col("_n") * gap).drop("_one", "_n", "_from", "_latest")
+
+
 def sessions(events: DataFrame, key: str, gap: str, tie: str, ts: str = "ts") -> DataFrame:
     """Adds ``session``: the number of the key's stretch of events with no pause over ``gap`` between them."""
     day = F.to_date(ts)

@@ -118,3 +118,31 @@ def annotation(tag: Column, original: Column, suggested: Column, category: Colum
         F.transform(F.coalesce(said, F.array().cast("array<string>")), lambda x: F.concat(F.lit("理由："), x)),
         F.coalesce(source, F.array().cast("array<string>")),
     )
+
+
+#: A page's own filter by type: rows of a type are hidden while its box is off.
+_FILTER = "<p>{boxes}</p><script>document.querySelectorAll('input').forEach(b=>b.onchange=()=>document.querySelectorAll('tr.'+b.value).forEach(r=>r.hidden=!b.checked))</script>"
+
+
+def alignment_pages(alignment: DataFrame, key: str = "pair_id") -> DataFrame:
+    """``key, page``: one page of HTML for each pair of an alignment (key, seq, type, a, b, similarity), with boxes that hide types."""
+    cell = lambda c: F.concat(F.lit("<td>"), _escaped(F.coalesce(c, F.lit(""))), F.lit("</td>"))
+    row = F.concat(F.lit('<tr class="'), _escaped(F.col("type")), F.lit('">'), cell(F.col("seq").cast("string")), cell(F.col("type")), cell(F.col("a")), cell(F.col("b")), cell(F.format_number("similarity", 3)), F.lit("</tr>"))
+    g = alignment.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("seq", row.alias("row")))).alias("rows"), F.array_sort(F.collect_set("type")).alias("types"))
+    boxes = F.array_join(F.transform("types", lambda t: F.concat(F.lit('<label><input type="checkbox" checked value="'), _escaped(t), F.lit('">'), _escaped(t), F.lit("</label>"))), "")
+    head, tail = _FILTER.split("{boxes}")
+    body = F.concat(F.lit('<!DOCTYPE html><html><head><meta charset="utf-8"></head><body><table>'), F.array_join(F.transform("rows", lambda x: x["row"]), ""), F.lit("</table>" + head), boxes, F.lit(tail + "</body></html>"))
+    return g.select(key, body.alias("page"))
+
+
+def finding_pages(findings: DataFrame, key: str = "doc_id") -> DataFrame:
+    """``key, page``: one page for each document, its findings (chapter, position, original, suggested, reason, ratio, severity) by chapter under cards of their number."""
+    items = issue_items(findings.withColumn("chapter", F.coalesce("chapter", F.lit("结构诊断"))))
+    first = F.min("position")
+    part = items.groupBy(key, "chapter").agg(first.alias("at"), F.array_sort(F.collect_list(F.struct("position", "item"))).alias("items"))
+    section = F.concat(F.lit("<h2>"), _escaped(F.col("chapter")), F.lit("</h2><ul>"), F.array_join(F.transform("items", lambda x: x["item"]), ""), F.lit("</ul>"))
+    body = part.groupBy(key).agg(F.array_sort(F.collect_list(F.struct((F.col("chapter") == "结构诊断").alias("last"), "at", "chapter", section.alias("html")))).alias("parts"))
+    counts = cards(findings, key)
+    card = lambda c: F.concat(F.lit(f"<b>{c} "), F.col(c).cast("string"), F.lit("</b> "))
+    page = F.concat(F.lit('<!DOCTYPE html><html><head><meta charset="utf-8"></head><body><p>'), *(card(c) for c in ("total", "error", "warn", "info")), F.lit("</p>"), F.array_join(F.transform("parts", lambda x: x["html"]), ""), F.lit("</body></html>"))
+    return body.join(counts, key).select(key, page.alias("page"))

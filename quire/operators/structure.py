@@ -6,6 +6,8 @@ through a cursor over normalized characters that remember where they came from.
 
 from __future__ import annotations
 
+import html
+import json
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -373,3 +375,24 @@ def tree(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
 def diagnostics(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key, kind, message, start_pos, end_pos`` of overlaps, level and numbering faults."""
     return _per_text(docs, key, text, lambda body: ((d.kind, d.message, d.start, d.end) for d in check(body)[1]), DIAGNOSTICS)
+
+
+def rendered(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``key, json, html``: the heading tree of each text, nested, as JSON and as lists with an anchor for each heading. Texts without a heading are left out."""
+
+    def rows(body: str):
+        nodes, _ = check(body)
+        if not nodes:
+            return
+        made = {id(n): {"rule": n.token.rule.id, "raw": n.token.raw, "number": n.token.number, "level": n.token.level, "line": n.token.line + 1, "children": []} for n in nodes}
+        for n in nodes:
+            if n.parent:
+                made[id(n.parent)]["children"].append(made[id(n)])
+
+        def listed(some: list[dict]) -> str:
+            return "<ul>" + "".join(f'<li id="h{x["line"]}-{x["rule"]}">{html.escape(x["raw"])}{listed(x["children"]) if x["children"] else ""}</li>' for x in some) + "</ul>"
+
+        roots = [made[id(n)] for n in nodes if not n.parent]
+        yield json.dumps(roots, ensure_ascii=False), listed(roots)
+
+    return _per_text(docs, key, text, rows, "json string, html string")

@@ -63,3 +63,12 @@ def phase_union_counts(spark, sf):
     s = table(spark, sf, "skipped", "finding_id").join(f, "finding_id").select("phase", F.lit(0).alias("found"), F.lit(1).alias("left"))
     both = f.select("phase", F.lit(1).alias("found"), F.lit(0).alias("left")).unionByName(s)
     return both.groupBy("phase").agg(F.sum("found").alias("findings"), F.sum("left").alias("skipped"))
+
+
+@catalogue.query("""
+    SELECT user_id, event_id, (n * 60000000 + max(epoch_us(ts) - n * 60000000) OVER (PARTITION BY user_id ORDER BY n))::BIGINT AS at_us
+    FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events)""")
+def paced_calls(spark, sf):
+    """When each caller's calls may go if they have to be a minute apart."""
+    e = table(spark, sf, "events", "event_id", "user_id", "ts")
+    return ordered.paced(e, "user_id", 60_000_000, "event_id").select("user_id", "event_id", "at_us")

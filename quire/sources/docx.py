@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import hashlib
 import io
 import posixpath
 import re
 import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 from xml.etree import ElementTree
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from . import html
 
@@ -140,3 +143,38 @@ def uses_embedded_body(data: bytes) -> bool:
     with zipfile.ZipFile(io.BytesIO(data)) as archive:
         body = ElementTree.fromstring(archive.read("word/document.xml")).find(W + "body")
         return body is not None and next(body.iter(W + "altChunk"), None) is not None and not any(accepted_text(p).strip() for p, _ in body_paragraphs(body))
+
+
+class DocxSource(DataSource):
+    """``spark.read.format("docx_units").load(path)``: the units of one Word document or of all in a folder, each file read by its own task."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "docx_units"
+
+    def schema(self) -> str:
+        return UNITS
+
+    def reader(self, schema) -> DataSourceReader:
+        return _DocxReader(self.options["path"])
+
+
+class _DocxReader(DataSourceReader):
+    def __init__(self, path: str) -> None:
+        self.path = path
+
+    def partitions(self) -> list[InputPartition]:
+        root = Path(self.path.removeprefix("file:"))
+        return [InputPartition(str(f)) for f in ([root] if root.is_file() else sorted(root.rglob("*.docx")))] or [InputPartition(None)]
+
+    def read(self, partition: InputPartition) -> Iterator[tuple]:
+        if partition.value is None:
+            return
+        data = Path(partition.value).read_bytes()
+        sha = hashlib.sha256(data).hexdigest()
+        try:
+            rows = units(data)
+        except (zipfile.BadZipFile, KeyError, ElementTree.ParseError, AttributeError) as e:
+            rows = [("", "error", f"{type(e).__name__}: {e}", None, None)]
+        for pos, row in enumerate(rows):
+            yield (partition.value, sha, pos, *row)

@@ -68,3 +68,11 @@ def page_paragraphs(pages: DataFrame, key: str, markup: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((batch.schema.field(0).type, pa.int32(), pa.string(), pa.int32()))], [key, "pos", "text", "heading_level"])
 
     return pages.select(F.col(key), F.col(markup)).mapInArrow(run, f"{key} {kind}, pos int, text string, heading_level int")
+
+
+def to_markdown(pages: DataFrame, key: str, markup: str) -> DataFrame:
+    """``key, text``: pages as Markdown, headings with their marks and paragraphs apart; pages without a paragraph are left out."""
+    p = page_paragraphs(pages, key, markup)
+    line = F.concat(F.when(F.col("heading_level") > 0, F.concat(F.repeat(F.lit("#"), "heading_level"), F.lit(" "))).otherwise(""), "text")
+    g = p.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", line.alias("line")))).alias("lines"))
+    return g.select(key, F.array_join(F.transform("lines", lambda x: x["line"]), "\n\n").alias("text"))
