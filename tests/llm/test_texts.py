@@ -247,6 +247,7 @@ def test_piece_rows(spark):
         ("لماذا؟ نعم.", ["لماذا؟", "نعم."]),
         ("ខ្ញុំទៅផ្សារ។ គាត់មក។", ["ខ្ញុំទៅផ្សារ។", "គាត់មក។"]),
         ("သူလာသည်။ ကျွန်ုပ်သွားသည်။", ["သူလာသည်။", "ကျွန်ုပ်သွားသည်။"]),
+        ("Ｄｒ. Ａｓｈ left. 𝖬𝗋. Fox stayed.", ["Ｄｒ. Ａｓｈ left.", "𝖬𝗋. Fox stayed."]),
         ("ຂ້ອຍໄປຕະຫຼາດ ລາວມາ", ["ຂ້ອຍໄປຕະຫຼາດ", "ລາວມາ"]),
         ("“甲。乙。”", ["“甲。", "乙。”"]),
         ("修改后：“甲吗？”他问。", ["修改后：“甲吗？”他问。"]),
