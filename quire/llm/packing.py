@@ -28,6 +28,8 @@ from .common import cut, table
 
 FINISH = 4000  # items of a kind from which on they are placed one by one, planned on the driver
 
+SALTS = 64  # parts in which the gaps of one width are ranked at the end
+
 #: Container kinds are settings; their list becomes a literal of the query.
 MAX_KINDS = 1000
 
@@ -248,11 +250,14 @@ def place(units: DataFrame, capacities: dict[int, int]) -> DataFrame:
         done = done.unionByName(p.select("kx", "id", "place"))
     rows = [(k, *p) for k, plan in last.items() for p in plan]  # at most FINISH rows a kind
     if rows:
-        plan = F.broadcast(spark.createDataFrame(rows, "kx int, w int, rank int, width int, which int"))
-        ranked = lambda df: df.withColumn("rank", F.row_number().over(Window.partitionBy("kx", "w").orderBy("id")) - 1).where(F.col("rank") < FINISH)
-        items = ranked(state.where(F.col("t") == ITEM).select("kx", "w", "id")).join(plan, ["kx", "w", "rank"]).select("kx", "id", "width", "which")
-        gaps = ranked(state.where(F.col("t") == GAP).select("kx", "w", "id")).select("kx", F.col("w").alias("width"), F.col("rank").alias("which"), F.col("id").alias("place"))
-        into = items.join(gaps, ["kx", "width", "which"], "left")
+        plan = spark.createDataFrame(rows, "kx int, w int, rank int, width int, which int")
+        ranked = lambda df, *by: df.withColumn("rank", F.row_number().over(Window.partitionBy("kx", "w", *by).orderBy("id")) - 1)
+        items = ranked(state.where(F.col("t") == ITEM).select("kx", "w", "id")).join(F.broadcast(plan), ["kx", "w", "rank"]).select("kx", "id", "width", "which")
+        # of the gaps of one width, of which there may be any number, each part gives as many as the plan takes
+        taken = F.broadcast(plan.where("width > 0").groupBy("kx", F.col("width").alias("w")).agg(F.count_distinct("which").alias("many")))
+        gaps = state.where(F.col("t") == GAP).join(taken, ["kx", "w"]).select("kx", "w", "id", "many", F.pmod(F.xxhash64("id"), F.lit(SALTS)).alias("salt"))
+        gaps = ranked(ranked(gaps, "salt").where("rank < many").drop("rank")).where("rank < many")
+        into = items.join(gaps.select("kx", F.col("w").alias("width"), F.col("rank").alias("which"), F.col("id").alias("place")), ["kx", "width", "which"], "left")
         done = done.unionByName(into.select("kx", "id", F.coalesce("place", _per_kind(opened) + F.col("which")).alias("place")))
     return done
 
