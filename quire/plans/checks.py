@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import align, filters, locate, segment, structure
+from ..sources import html
 from . import alignment, findings
 from .registry import Catalogue, spread, table
 
@@ -192,3 +193,37 @@ def numbered_lines(spark, sf):
     t = structure.tree(spread(table(spark, sf, "your_markdown", "chunk_id", "target")), "chunk_id", "target").where("rule_id in ('chapter', 'section')")
     lines = segment.to_lines(table(spark, sf, "your_markdown", "chunk_id", "target"), "chunk_id", "target").where(F.col("line").startswith("第"))
     return t.select("chunk_id", "start_pos", "raw_text").join(lines.select("chunk_id", "line_no", F.col("line_start").alias("start_pos")), ["chunk_id", "start_pos"]).select("chunk_id", "line_no", "raw_text")
+
+
+_UNESCAPED = "x"
+for _name, _ch in (("nbsp", " "), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "''"), ("ldquo", "“"), ("rdquo", "”"), ("mdash", "—"), ("#8212", "—"), ("amp", "&")):
+    _UNESCAPED = f"replace({_UNESCAPED}, '&{_name};', '{_ch}')"
+
+
+@catalogue.query(f"""SELECT chunk_id, md5({_SQUEEZE.format(_UNESCAPED)}) AS content FROM (
+    SELECT chunk_id, regexp_replace(regexp_replace(target, '<!--.*?-->', '', 'gs'), '<[^>]+>', '', 'g') AS x FROM your_markdown WHERE contains(target, '<')) WHERE {_SQUEEZE.format(_UNESCAPED)} <> ''""")
+def page_content(spark, sf):
+    """Paragraphs of pages of HTML, joined: the page without tags, comments and entities, blanks aside."""
+    t = table(spark, sf, "your_markdown", "chunk_id", "target").where(F.col("target").contains("<"))
+    g = html.page_paragraphs(t, "chunk_id", "target").groupBy("chunk_id").agg(F.array_sort(F.collect_list(F.struct("pos", "text"))).alias("p"))
+    return g.select("chunk_id", F.md5(T.squeeze(F.array_join(F.transform("p", lambda x: x["text"]), "")).cast("binary")).alias("content"))
+
+
+@catalogue.query(f"""
+    WITH n AS (SELECT chunk_id, finding_id, spot, length(key) AS size, corrected_sentence AS c, count(*) OVER (PARTITION BY x.chunk_id) AS many
+        FROM ({findings._NAMED}) x JOIN (SELECT finding_id, corrected_sentence FROM max_pipeline WHERE corrected_sentence IS NOT NULL) m USING (finding_id) WHERE outcome = 'located')
+    SELECT n.chunk_id, substr(target, 1, spot) || c || substr(target, spot + size + 1) AS target FROM n JOIN your_markdown y ON n.chunk_id = y.chunk_id WHERE many = 1""")
+def single_edits(spark, sf):
+    """Chunks with one located answer, which is spliced in."""
+    f = table(spark, sf, "max_pipeline", "finding_id", "corrected_sentence").where("corrected_sentence is not null")
+    n = findings._named(spark, sf).where("outcome = 'located'").join(f, "finding_id")
+    one = n.groupBy("chunk_id").agg(F.count("*").alias("many")).where("many = 1")
+    return findings.refined_chunks(spark, sf).join(one, "chunk_id", "left_semi").select("chunk_id", "target")
+
+
+@catalogue.query("""SELECT finding_id, (length(corrected_sentence) - length(original_sentence))::INT AS growth, abs(length(regexp_replace(corrected_sentence, '[^。！？!?]', '', 'g')) - length(regexp_replace(original_sentence, '[^。！？!?]', '', 'g')))::INT AS moved,
+        0::BIGINT AS wrong FROM max_pipeline WHERE original_sentence IS NOT NULL AND corrected_sentence IS NOT NULL""")
+def gate_measures(spark, sf):
+    """Growth and moved marks of every pair of the edit gate; ``wrong`` tells where the spans' sizes don't add up to the growth."""
+    g = findings.edit_gate(spark, sf)
+    return g.select("finding_id", "growth", "moved", (F.col("added") - F.col("changed") != F.col("growth")).cast("long").alias("wrong"))
