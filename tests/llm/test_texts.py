@@ -293,6 +293,30 @@ def test_kana_and_digits_do_not_hide_a_bare_stretch():
     assert len(sentences.sentence_spans(text, words)) == 1  # without the n-grams nothing is found
 
 
+def test_all_answers_tell_abbreviations(spark, tmp_path):
+    left = next(r["id"] for r in spark.range(20).selectExpr("id", "pmod(xxhash64(id), 2) AS h").collect() if r["h"])  # a sample of every second key leaves these answers out
+    filler = spark.range(30, 24_130).selectExpr("id AS finding_id", "'是。' AS corrected_sentence")
+    told = spark.range(400).selectExpr(f"{left}L AS finding_id", "'Here the zzq. of it was seen.' AS corrected_sentence")
+    filler.unionByName(told).write.parquet(f"{tmp_path}/max_pipeline.parquet")
+    spark.createDataFrame([(1, "paragraph", "He met zzq. Brown there.")], "chunk_id long, kind string, target string").write.parquet(f"{tmp_path}/your_markdown.parquet")
+    assert [r["end_pos"] for r in sentences.found(spark, str(tmp_path)).where("tbl = 'your_markdown'").collect()] == [24]
+
+
+@pytest.mark.parametrize("limit", [0, 200_000])
+def test_bare_stretches_meet_the_ngrams_of_all_answers(spark, monkeypatch, limit):
+    monkeypatch.setattr(sentences, "KEYS", limit)
+    rng = random.Random(7)
+    starts, ends = ["盐贩", "茶商", "渡夫", "药农"], ["走了", "来过", "修好", "不见"]
+    unit = lambda: rng.choice(starts) + prose(rng, rng.randint(6, 14)) + rng.choice(ends)
+    answers = [unit() + "。" for _ in range(600)] + ["", "Plain words."]
+    texts = ["".join(unit() for _ in range(8)), "甲。" + "".join(unit() for _ in range(6)) + "。\n\n" + "".join(unit() for _ in range(5)), "甲乙。丙丁。", "", None]
+    words = sentences.fit([t for t in answers if t])
+    want = sorted((k, a, b) for k, t in enumerate(texts) if t for a, b in sentences.sentence_spans(t, words))
+    records = spark.createDataFrame([("t", k, t) for k, t in enumerate(texts)], "tbl string, rec_id long, text string").repartition(3)
+    got = sentences.split(records, spark.createDataFrame([(t,) for t in answers], "text string").repartition(5))
+    assert sorted((r["rec_id"], r["start_pos"], r["end_pos"]) for r in got.collect()) == want and len(want) > 15
+
+
 def test_counts_move_the_prior():
     base = sentences.Words()
     told = sentences.Words(cells={("mark", "clause", "upper"): (0.0, 400.0)}, following={("clause", ""): (200.0, 200.0), ("clause", "said"): (0.0, 50.0)})
