@@ -409,6 +409,30 @@ def test_characters_are_counted_in_all_rows(spark, tmp_path):
     assert got == {18_010: "天地" + rare * 3 + "玄黄。"}
 
 
+def test_words_are_counted_in_all_rows(spark, tmp_path):
+    left = next(r["id"] for r in spark.range(20).selectExpr("id", "pmod(xxhash64(id), 2) AS h").collect() if r["h"])  # a sample of every second key leaves these rows out
+    rng = random.Random(11)
+    swapped = "Паромщик сравнил " + garbled.garble("печать", ("koi8-r", "cp1251")) + " в архиве."
+    rows = [(k, prose(rng, 12) + "。") for k in range(30, 12_030)] + [(left, "Паромщик сравнил печать в архиве после дождя.")] * 60 + [(20_000, swapped)]
+    spark.createDataFrame(rows, "chunk_id long, target string").write.parquet(f"{tmp_path}/your_markdown.parquet")
+    assert {r["chunk_id"]: r["restored"] for r in garbled.repairs(spark, str(tmp_path)).collect()} == {20_000: "Паромщик сравнил печать в архиве."}
+
+
+def test_counts_of_parts_make_the_model_of_the_whole(spark):
+    rng = random.Random(12)
+    texts = [prose(rng, 30) + "。\n" + prose(rng, 9) for _ in range(300)] + ["Der Müller prüfte die Brücke.", "Паромщик сравнил печать.", "印刷工がインクを運んだ。", "인쇄공이 왔다.", "plain", "", "甲�"] * 20
+    texts += [garbled.garble(texts[0], ("utf-8", "cp1252"))] * 2
+    want = garbled.fit(texts)
+    rows = [(k, t) for k, t in enumerate([*texts, None])]
+    got = garbled.fitted(spark.createDataFrame(rows, "chunk_id long, target string").repartition(7))
+    assert (got.odds == want.odds).all() and (got.best == want.best).all() and got.pairs == want.pairs
+    lines = garbled.Tally()
+    lines.add(texts[:300])
+    for chain in garbled.CHAINS:  # those read by single bytes are derived and not garbled
+        have = [x for t in texts[:300] for x in t.split("\n") if x.encode(chain[0], "ignore").decode(chain[0]) == x]
+        assert (lines.of_chain(chain) == garbled.pairs_of(garbled.garble("\n".join(["", *have, ""]), chain).encode()) * bool(have)).all()
+
+
 # Problem 6
 
 
