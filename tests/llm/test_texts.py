@@ -459,6 +459,14 @@ def test_vocabulary_decides(spark):
     assert lookalike.normalize("a сору of", {}) == ("", "a сору of")
 
 
+def test_vocabulary_decides_on_capitals_and_misspelled_words(spark):
+    rows = [("a", 1, "copy copying copy copying copy copying"), ("a", 2, "THE СОРУ OF"), ("a", 3, "a соруng of"), ("a", 4, "a Сорyying of"), ("a", 5, "THE СОРЕ OF"), ("a", 6, "a сорe of")]
+    df = spark.createDataFrame(rows, "tbl string, rec_id long, text string")
+    got = {r["rec_id"]: r["normalized"] for r in lookalike.normalized(df).collect()}
+    # an edit tells the script of a word of two scripts and leaves its letters; a word of one script is no other word, and a short one is too near to others
+    assert got == {2: "THE COPY OF", 3: "a copyng of", 4: "a Copyying of", 6: "a соре of"}
+
+
 @pytest.mark.parametrize(
     ("text", "plain"),
     [
