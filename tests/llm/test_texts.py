@@ -467,6 +467,14 @@ def test_vocabulary_decides_on_capitals_and_misspelled_words(spark):
     assert got == {2: "THE COPY OF", 3: "a copyng of", 4: "a Copyying of", 6: "a соре of"}
 
 
+def test_an_edit_tells_only_a_script_the_word_could_be_of():
+    assert lookalike.open_scripts("соруng") == {"C", "L"} and not lookalike.open_scripts("сорe")
+    token, other = "aoχptik", "аортік"  # Latin and one Greek letter; a Cyrillic word that looks like it but for one letter
+    assert lookalike.open_scripts(token) == {"L", "G"} and lookalike.spelling(token, lookalike.build({other: 9}), 2.0)
+    tries = {"L": lookalike.build({"aoxptk": 3}), "C": lookalike.build({other: 9})}
+    assert lookalike.matched(token, tries)[2] == "aoxptk" and lookalike.matched(token, {"C": tries["C"]}) is None
+
+
 @pytest.mark.parametrize(
     ("text", "plain"),
     [
