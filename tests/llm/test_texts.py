@@ -1,6 +1,8 @@
 import random
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -317,6 +319,60 @@ def test_bare_stretches_meet_the_ngrams_of_all_answers(spark, monkeypatch, limit
     assert sorted((r["rec_id"], r["start_pos"], r["end_pos"]) for r in got.collect()) == want and len(want) > 15
 
 
+@pytest.mark.parametrize("kinds", [12, 1 << 16])
+def test_ngrams_of_a_task_are_counted_at_once(monkeypatch, kinds):
+    monkeypatch.setattr(sentences, "KINDS", kinds)
+    rng = random.Random(5)
+    texts = [prose(rng, rng.randint(1, 30)) + "。" + prose(rng, rng.randint(2, 9)) + "𠀋。" for _ in range(90)] + ["Plain words.", "", None]
+    batches = [pa.RecordBatch.from_arrays([pa.array(texts[k : k + 10], pa.string())], ["text"]) for k in range(0, len(texts), 10)]
+    want, lengths = Counter(), Counter()
+    for text in texts[:90]:
+        units = text.split("。")[:2]
+        lengths.update(map(len, units))
+        run = "\n" + "\n".join(units) + "\n"
+        grams = [run[k : k + n] for n in range(1, 5) for k in range(len(run) - n + 1)]
+        want.update(g for g in grams if "\n" not in g[1:-1])
+        want["\n"] -= 1
+    out = list(sentences.letter_rows(batches, sentences.Words()))
+    rows = [r for batch in out for r in batch.to_pylist()]
+    got = Counter()
+    for r in rows:
+        got[r["gram"]] += r["n"] if r["gram"] else 0
+    assert {g: n for g, n in got.items() if g} == want and {r["length"]: r["n"] for r in rows if r["length"]} == lengths
+    assert len(out) == 1 and (kinds == 12 or len(rows) == len(want) + len(lengths) + 1)  # once a task, not once a batch; events apart
+
+
+def test_every_end_mark_ends_a_sentence():
+    marks = "\u3002\uff01\uff1f!?\u061f\u0964\u0965\u06d4\uff61\ufe12\uff0e\u1362\u17d4\u17d5\u104b\u0f0d\u0589"
+    left = [hex(ord(ch)) for ch in marks if [m.span() for m in sentences.TOKEN.finditer(f"ab{ch}{ch} Cd")] != [(2, 4)]]
+    assert not left
+
+
+def test_only_texts_of_dense_scripts_are_split_for_ngrams(monkeypatch):
+    split = []
+    monkeypatch.setattr(sentences, "paragraph", lambda text, *_: split.append(text) or [])
+    sentences.units_of(["Plain words. And more.", "Слова. Ещё.", "甲乙。"], sentences.Words())
+    assert split == ["甲乙。"]
+
+
+def test_each_character_of_a_bare_stretch_is_weighed_once(monkeypatch):
+    asked, log_p = [], sentences.Words.log_p
+    monkeypatch.setattr(sentences.Words, "log_p", lambda self, history, ch: asked.append((history, ch)) or log_p(self, history, ch))
+    rng = random.Random(3)
+    words = sentences.fit([prose(rng, 12) + "。" for _ in range(50)])
+    text = prose(rng, 100)
+    odds = sentences.event_odds(text, 0, 100, words)
+    assert len(asked) <= 5 * 100  # with an event four for each slot, without one each character once
+
+    def without(k):
+        return sum(log_p(words, text[max(0, j - 3) : j], text[j]) for j in range(k, min(100, k + 3)))
+
+    def within(k):
+        return log_p(words, text[max(0, k - 3) : k], "\n") + sum(log_p(words, ("\n" + text[k:j])[-3:], text[j]) for j in range(k, min(100, k + 3)))
+
+    assert np.allclose(odds, [within(k) - without(k) for k in range(1, 100)])
+
+
 def test_counts_move_the_prior():
     base = sentences.Words()
     told = sentences.Words(cells={("mark", "clause", "upper"): (0.0, 400.0)}, following={("clause", ""): (200.0, 200.0), ("clause", "said"): (0.0, 50.0)})
